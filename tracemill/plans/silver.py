@@ -119,7 +119,7 @@ def session_messages(entries: DataFrame) -> DataFrame:
         F.sum("users").alias("user_message_count"),
         F.sum("assistants").alias("assistant_message_count"),
         F.sum("length").alias("total_content_length"),
-        F.when(gaps > 0, span / F.lit(1e6) / gaps).alias("avg_response_time_seconds"),
+        F.when(gaps > 0, span / gaps / F.lit(1e6)).alias("avg_response_time_seconds"),
     )
 
 
