@@ -120,7 +120,7 @@ def documents_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.get(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % len(shapes)).cast("int"))
     doc_id = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("t"), turn)
     minute = F.lpad(F.pmod(F.col("turn"), F.lit(60)).cast("string"), 2, "0")
-    stamp = F.when(F.col("turn") % 11 == 10, "not a time").otherwise(
+    stamp = F.when(F.col("turn") % 7 == 6, "not a time").otherwise(
         F.concat(F.lit("2024-03-01T10:"), minute, F.lit(":00Z"))
     )
     session = F.concat(F.lit("conv"), F.col("conv_id").cast("string"))
