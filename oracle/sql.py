@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from oracle.logs import LOG_ORACLE, declared
 from oracle.models import AS_OF, columns_of, with_blocks
 from tracemill.plans import silver, staging
+from tracemill.queries import LAYERS
 
 SESSION_COLUMNS = [
     "session_id", "project_id", "session_start", "session_end", "start_date", "end_date", "total_entries",
@@ -112,3 +114,6 @@ ORACLE: dict[str, str] = {
            FROM bronze"""
     ),
 }
+
+ORACLE.update(LOG_ORACLE)
+ORACLE.update({f"checks_{layer}": declared(names) for layer, names in LAYERS.items()})

@@ -151,5 +151,5 @@ def split_rows(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def write_dead_letters(bad: DataFrame, path: str, day: Column, reason: str) -> None:
-    bad.withColumns({"reason": F.lit(reason), "date": day}).write.mode("append").partitionBy("date").json(path)
+def write_dead_letters(bad: DataFrame, path: str, day: Column, reason: str, mode: str = "append") -> None:
+    bad.withColumns({"reason": F.lit(reason), "date": day}).write.mode(mode).partitionBy("date").json(path)

@@ -32,8 +32,8 @@ class Options:
 
 @dataclass(frozen=True)
 class Model:
-    """`kind` is view (never stored), helper (stored only to be shared), table or
-    incremental (stored, merged on `key`)."""
+    """`kind` is view (never stored), shared (stored during a run without its long texts, for
+    the models after it), table, or incremental (stored, merged on `key`)."""
 
     inputs: tuple[str, ...]
     build: Callable[..., DataFrame]
@@ -42,8 +42,10 @@ class Model:
     stands_in: str | None = None  # a stored model that has these columns and more
 
 
+LONG_TEXTS = ["message_content", "tool_content", "raw_parameters"]
+
 MODELS: dict[str, Model] = {
-    "tool_categories": Model((), lambda o: None, "helper"),
+    "tool_categories": Model((), lambda o: None),
     "entries": Model(("bronze",), lambda o, b: staging.staged_entries(b)),
     "stg_conversations": Model(("bronze",), lambda o, b: staging.stg_conversations(b)),
     "stg_messages": Model(("entries",), lambda o, e: staging.stg_messages(e, **o.order)),
@@ -52,20 +54,20 @@ MODELS: dict[str, Model] = {
         ("entries",), lambda o, e: silver.message_features(e), stands_in="int_messages_enriched"
     ),
     "int_messages_enriched": Model(
-        ("entries",), lambda o, e: silver.int_messages_enriched(e, **o.order), "helper"
+        ("entries",), lambda o, e: silver.int_messages_enriched(e, **o.order), "shared"
     ),
     "int_tool_usage": Model(
-        ("entries", "tool_categories"), lambda o, e, c: silver.int_tool_usage(e, c, **o.order), "helper"
+        ("entries", "tool_categories"), lambda o, e, c: silver.int_tool_usage(e, c, **o.order), "shared"
     ),
-    "activity_rollup": Model(("entries",), lambda o, e: silver.activity_rollup(e), "helper"),
+    "activity_rollup": Model(("entries",), lambda o, e: silver.activity_rollup(e), "table"),
     "session_messages": Model(("entries",), lambda o, e: silver.session_messages(e)),
     "session_tools": Model(("entries",), lambda o, e: silver.session_tools(e)),
     "int_sessions_computed": Model(
         ("activity_rollup", "session_messages", "session_tools"),
         lambda o, r, m, t: silver.int_sessions_computed(r, m, t),
-        "helper",
+        "table",
     ),
-    "session_fanout": Model(("activity_rollup",), lambda o, r: facts.session_fanout(r), "helper"),
+    "session_fanout": Model(("activity_rollup",), lambda o, r: facts.session_fanout(r), "table"),
     "dim_date": Model(("activity_rollup",), lambda o, r: dimensions.dim_date(r, o.today), "table"),
     "dim_projects": Model(
         ("activity_rollup", "int_sessions_computed"),

@@ -66,11 +66,11 @@ def paired_tool_calls(tools: DataFrame) -> DataFrame:
     """
     results = (
         tools.where(F.col("is_result") & F.col("tool_use_id").isNotNull())
-        .groupBy("tool_use_id")
-        .agg(F.min("effective_timestamp").alias("result_at"), F.count(F.lit(1)).alias("result_rows"))
+        .groupBy(F.col("tool_use_id").alias("_call"))
+        .agg(F.min("effective_timestamp").alias("result_at"))
     )
     calls = tools.where(F.col("is_invocation") & F.col("tool_id").isNotNull())
-    return calls.join(results, calls["tool_id"] == results["tool_use_id"], "left").select(
+    return calls.join(results, F.col("tool_id") == F.col("_call"), "left").select(
         "conversation_id",
         "session_id",
         "tool_name",

@@ -28,7 +28,7 @@ ARROW = pa.schema([("source_file", pa.string()), ("byte_offset", pa.int64()), ("
 CHUNK = 1 << 20
 ROWS_PER_BATCH = 10_000
 DEFAULT_SPLIT = 64 << 20
-DEFAULT_FORGET_DAYS = 30
+DEFAULT_SETTLE_DAYS = 30
 
 
 class ByteRange(InputPartition):
@@ -142,50 +142,47 @@ class SessionLogReader(DataSourceReader):
 class SessionLogStream(DataSourceStreamReader):
     """The offset is {"files": {path: position}, "settled": time}.
 
-    Files that were fully read and not modified for `forget_days` leave the map, which keeps
-    the offset small; `settled` marks up to which modification time they may be ignored.
-    Should such a file grow after all, it is read again from its beginning, and the stable
-    line ids let the merge drop the repeated lines.
+    `files` holds only files modified after `settled`, which trails the newest file by
+    `settleDays`; older ones are taken as read to their end, so the offset does not grow
+    with the number of files ever seen. A file that settles is read up to its end, with an
+    unfinished last line. Should a settled file grow after all, it is read again from its
+    beginning, and the stable line ids let the merge drop the repeated lines.
+
+    An offset depends on the files alone, not on memory of earlier calls: a restarted query
+    compares it with the checkpointed one.
     """
 
-    def __init__(self, root: str, split_bytes: int, forget_days: float):
-        self.root, self.split_bytes, self.forget_seconds = root, split_bytes, forget_days * 86_400
-        self.last: dict | None = None
+    def __init__(self, root: str, split_bytes: int, settle_days: float):
+        self.root, self.split_bytes, self.settle_seconds = root, split_bytes, settle_days * 86_400
+        self.ends: dict[str, tuple[int, int]] = {}  # path -> (size, position after the last line break)
 
     def initialOffset(self) -> dict:
         return {"files": "{}", "settled": 0.0}
 
     def latestOffset(self) -> dict:
-        known = json.loads(self.last["files"]) if self.last else {}
-        settled = self.last["settled"] if self.last else 0.0
         filesystem, _ = _filesystem(self.root)
         logs = list_logs(self.root)
-        grown = {
-            p: size
-            for p, (size, mtime) in logs.items()
-            if size > known.get(p, 0) and (p in known or mtime > settled)
-        }
+        settled = max(0.0, max((mtime for _, mtime in logs.values()), default=0.0) - self.settle_seconds)
+        active = {p: size for p, (size, mtime) in logs.items() if mtime > settled}
+        changed = [p for p, size in active.items() if self.ends.get(p, (-1, 0))[0] != size]
         with ThreadPoolExecutor(16) as pool:
-            ends = pool.map(lambda p: complete_end(filesystem, p, known.get(p, 0), grown[p]), grown)
-            reached = {**known, **{p: e for p, e in zip(list(grown), ends) if e > 0}}
-        newest = max((mtime for _, mtime in logs.values()), default=0.0)
-        horizon = max(settled, newest - self.forget_seconds)
-        files = {
-            p: e for p, e in reached.items() if p in logs and (logs[p][1] > horizon or logs[p][0] > e or p in grown)
-        }
-        self.last = {"files": json.dumps(files, sort_keys=True), "settled": horizon}
-        return self.last
+            ends = pool.map(lambda p: complete_end(filesystem, p, 0, active[p]), changed)
+            found = {p: (active[p], e) for p, e in zip(changed, ends)}
+        self.ends = {p: found.get(p) or self.ends[p] for p in active}
+        files = {p: e for p, (_, e) in self.ends.items() if e}
+        return {"files": json.dumps(files, sort_keys=True), "settled": settled}
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        # After a restart the checkpointed end is the only memory of what was read.
-        if self.last is None:
-            self.last = end
-        before = json.loads(start["files"])
+        before, reached = json.loads(start["files"]), json.loads(end["files"])
+        if end["settled"] > start["settled"]:
+            for path, (size, mtime) in list_logs(self.root).items():
+                if start["settled"] < mtime <= end["settled"]:
+                    reached.setdefault(path, size)
         return [
             r
-            for path, reached in sorted(json.loads(end["files"]).items())
-            if reached > before.get(path, 0)
-            for r in split_range(path, before.get(path, 0), reached, self.split_bytes)
+            for path in sorted(reached)
+            if reached[path] > before.get(path, 0)
+            for r in split_range(path, before.get(path, 0), reached[path], self.split_bytes)
         ]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -210,5 +207,5 @@ class SessionLogSource(DataSource):
         return SessionLogReader(self.options["path"], self._split())
 
     def streamReader(self, schema) -> SessionLogStream:
-        forget = float(self.options.get("forgetDays", DEFAULT_FORGET_DAYS))
-        return SessionLogStream(self.options["path"], self._split(), forget)
+        settle = float(self.options.get("settleDays", DEFAULT_SETTLE_DAYS))
+        return SessionLogStream(self.options["path"], self._split(), settle)

@@ -58,6 +58,12 @@ def snapshot(spark: SparkSession, path: str, as_of_version: int | None = None) -
     return spark.read.parquet(f"{path}/data").where(F.col("version") <= wanted).drop("version")
 
 
+def snapshot_since(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """Logged rows of later versions than the given one."""
+    fresh = F.col("version").between(version + 1, current_version(spark, path))
+    return spark.read.parquet(f"{path}/data").where(fresh).drop("version")
+
+
 def history(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """The latest appends."""
     return commits(spark, path).orderBy(F.desc("version")).limit(limit)

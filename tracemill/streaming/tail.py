@@ -20,13 +20,10 @@ def deliver(dead_letters: str, landing: str):
     """
 
     def write(lines: DataFrame, batch: int) -> None:
-        if lines.isEmpty():
-            return
         now = F.current_timestamp()
-        documents.write_landing(documents.to_documents(documents.not_blank(lines), now), landing, batch)
+        documents.write_landing(documents.to_documents(lines, now), landing, batch)
         bad = documents.malformed(lines)
-        if not bad.isEmpty():
-            write_dead_letters(bad.withColumn("batch", F.lit(batch)), dead_letters, F.to_date(now), "malformed line")
+        write_dead_letters(bad, f"{dead_letters}/batch={batch}", F.to_date(now), "malformed line", "overwrite")
 
     return write
 
