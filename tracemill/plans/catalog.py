@@ -42,7 +42,7 @@ class Model:
     stands_in: str | None = None  # a stored model that has these columns and more
 
 
-LONG_TEXTS = ["message_content", "tool_content", "raw_parameters"]
+LONG_TEXTS = ["message_content", "message_raw", "tool_content", "raw_parameters"]
 
 MODELS: dict[str, Model] = {
     "tool_categories": Model((), lambda o: None),
@@ -50,11 +50,11 @@ MODELS: dict[str, Model] = {
     "stg_conversations": Model(("bronze",), lambda o, b: staging.stg_conversations(b)),
     "stg_messages": Model(("entries",), lambda o, e: staging.stg_messages(e, **o.order)),
     "stg_tool_calls": Model(("entries",), lambda o, e: staging.stg_tool_calls(e, **o.order)),
-    "message_features": Model(
-        ("entries",), lambda o, e: silver.message_features(e), stands_in="int_messages_enriched"
-    ),
-    "int_messages_enriched": Model(
-        ("entries",), lambda o, e: silver.int_messages_enriched(e, **o.order), "shared"
+    "int_messages_enriched": Model(("entries",), lambda o, e: silver.int_messages_enriched(e, **o.order)),
+    # The enriched messages in two steps; the first needs no shuffle.
+    "message_features": Model(("entries",), lambda o, e: silver.message_features(e), "shared"),
+    "ordered_messages": Model(
+        ("message_features",), lambda o, m: staging.with_message_order(m, **o.order)
     ),
     "int_tool_usage": Model(
         ("entries", "tool_categories"), lambda o, e, c: silver.int_tool_usage(e, c, **o.order), "shared"
@@ -83,7 +83,7 @@ MODELS: dict[str, Model] = {
         ("tool_categories", "int_tool_usage"), lambda o, c, u: dimensions.dim_tools(c, u), "table"
     ),
     "fct_messages": Model(
-        ("int_messages_enriched", "session_fanout"),
+        ("ordered_messages", "session_fanout"),
         lambda o, m, f: facts.fct_messages(m, f),
         "incremental",
         "message_key",

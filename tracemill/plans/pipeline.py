@@ -92,12 +92,12 @@ def read_bronze(spark: SparkSession, job: Job) -> DataFrame:
     return spark.read.parquet(job.bronze)
 
 
-def touched_sessions(bronze: DataFrame, since: datetime.date) -> DataFrame:
+def touched_sessions(rows: DataFrame, since: datetime.date) -> DataFrame:
     """All rows of the sessions that have rows since the day, so that positions inside the
     session stay right while other sessions are left out."""
     key = null_safe_key(F.col("session_id"))
-    recent = bronze.where(F.col("date") >= F.lit(since)).select(key.alias("_session")).distinct()
-    return bronze.withColumn("_session", key).join(recent, "_session", "left_semi").drop("_session")
+    recent = rows.where(F.col("partition_date") >= F.lit(since)).select(key.alias("_session")).distinct()
+    return rows.withColumn("_session", key).join(recent, "_session", "left_semi").drop("_session")
 
 
 def _write_incremental(spark: SparkSession, job: Job, name: str, models: Lineage) -> str:
@@ -111,13 +111,10 @@ def _write_incremental(spark: SparkSession, job: Job, name: str, models: Lineage
     # One scalar, so that the day filter is a constant and prunes folders.
     newest = spark.read.parquet(path).agg(F.max("date_key")).first()[0]
     since = newest - datetime.timedelta(days=1)
-    window = Lineage(
-        touched_sessions(models.bronze, since),
-        models.options,
-        {"session_fanout": models["session_fanout"]},
-    )
+    recent = Lineage(models.bronze, models.options, dict(models.stored))
+    recent.stored["message_features"] = touched_sessions(models["message_features"], since)
     staged = job.staging(name)
-    window[name].where(F.col("partition_date") >= F.lit(since)).write.mode("overwrite").parquet(staged)
+    recent[name].where(F.col("partition_date") >= F.lit(since)).write.mode("overwrite").parquet(staged)
     merge.replace_by_key(spark, path, spark.read.parquet(staged), key, "date_key")
     return f"merged since {since}"
 
