@@ -40,28 +40,32 @@ def day_type(dow: Column) -> Column:
 
 
 def day_name(dow: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in rules.DAY_NAMES]), dow + 1)
+    return F.element_at(F.expr(f"array({sql_list(rules.DAY_NAMES)})"), dow + 1)
 
 
-def task_category(text: Column) -> Column:
+def sql_list(values) -> str:
+    """Values as SQL literals. Rule tables go into the plan as text: one call to the JVM
+    instead of several per rule."""
+    escaped = [v.replace("\\", "\\\\").replace("'", "\\'") for v in values]
+    return ", ".join(f"'{v}'" for v in escaped)
+
+
+def task_category(column: str) -> Column:
     """Ordered keyword rules on the case-folded text."""
-    folded = F.lower(text)
-    out = F
-    for category, patterns in rules.TASK_PATTERNS.items():
-        hit = folded.like(patterns[0])
-        for p in patterns[1:]:
-            hit = hit | folded.like(p)
-        out = out.when(hit, F.lit(category))
-    return out.otherwise(F.lit("other"))
+    whens = [
+        f"WHEN lower({column}) LIKE ANY ({sql_list(patterns)}) THEN '{category}'"
+        for category, patterns in rules.TASK_PATTERNS.items()
+    ]
+    return F.expr(f"CASE {' '.join(whens)} ELSE 'other' END")
 
 
-def task_category_by_word(text: Column) -> Column:
+def task_category_by_word(column: str) -> Column:
     """The same idea with whole-word rules; one regular expression per category."""
-    folded = F.lower(text)
-    out = F
-    for category, patterns in rules.TASK_WORD_PATTERNS.items():
-        out = out.when(folded.rlike("|".join(patterns)), F.lit(category))
-    return out.otherwise(F.lit("other"))
+    whens = [
+        f"WHEN lower({column}) RLIKE {sql_list(['|'.join(patterns)])} THEN '{category}'"
+        for category, patterns in rules.TASK_WORD_PATTERNS.items()
+    ]
+    return F.expr(f"CASE {' '.join(whens)} ELSE 'other' END")
 
 
 def file_path(tool: Column, text: Column) -> Column:
@@ -78,11 +82,9 @@ def file_extension(tool: Column, text: Column) -> Column:
     )
 
 
-def file_type(extension: Column) -> Column:
-    out = F
-    for name, extensions in rules.FILE_TYPES.items():
-        out = out.when(extension.isin(extensions), F.lit(name))
-    return out.otherwise(F.lit("other"))
+def file_type(column: str) -> Column:
+    whens = [f"WHEN {column} IN ({sql_list(e)}) THEN '{name}'" for name, e in rules.FILE_TYPES.items()]
+    return F.expr(f"CASE {' '.join(whens)} ELSE 'other' END")
 
 
 def operation_type(tool: Column) -> Column:

@@ -40,7 +40,7 @@ def message_features(entries: DataFrame, classify=x.task_category) -> DataFrame:
             "month_of_year": F.month(at),
             "time_of_day": x.time_of_day(hour),
             "day_type": x.day_type(dow),
-            "task_category": classify(text),
+            "task_category": classify("message_content"),
             "has_code_block": text.contains("```"),
             "has_url": text.contains("http"),
             "is_question": text.contains("?"),
@@ -64,7 +64,7 @@ def tool_features(entries: DataFrame, categories: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "tool_category": F.coalesce("tool_category", F.lit("unknown")),
-                "file_type_category": x.file_type(F.col("file_extension")),
+                "file_type_category": x.file_type("file_extension"),
                 "hour_of_day": F.hour(at),
                 "day_of_week": x.day_of_week(at),
             }

@@ -34,18 +34,18 @@ def comparable(df: DataFrame) -> DataFrame:
     Means of doubles are rounded; every other double is exact on both engines."""
     columns = []
     for f in df.schema.fields:
-        c, kind = F.col(f"`{f.name}`"), f.dataType
+        c = f"`{f.name}`"
         if f.name == "computed_at":
             continue
-        if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = c.cast("double")
-            c = F.round(c, 6) if f.name in FLOAT_MEANS else c
-        elif isinstance(kind, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        columns.append(c.alias(f.name))
-    return df.select(*columns)
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = f"cast({c} AS bigint)"
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            c = f"cast({c} AS double)"
+            c = f"round({c}, 6)" if f.name in FLOAT_MEANS else c
+        elif isinstance(f.dataType, T.TimestampType):
+            c = f"cast({c} AS timestamp_ntz)"
+        columns.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*columns)
 
 
 def lineage(spark: SparkSession, sf_dir: str, **options) -> Lineage:

@@ -13,7 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.parquet.aggregatePushdown": "true",
+    # Recording the call site of every column expression costs more than small queries do.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

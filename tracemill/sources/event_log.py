@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import rules
+from tracemill.functions.expressions import sql_list
 from tracemill.schemas import BRONZE
 
 # Message texts: one per task category, then code, link, question, two file paths.
@@ -28,47 +29,42 @@ TEMPLATES = [
     "/docs/readme.md",
 ]
 
-TYPES = {"view": "user", "click": "assistant", "purchase": "tool_use", "error": "tool_result"}
 TOOLS = [t[0] for t in rules.TOOL_CATEGORIES] + ["mcp_custom"]
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+# Each event as a bronze row. `at` is the event time, `day` its day of the month.
+BRONZE_SQL = {
+    "_id": "concat('e', event_id)",
+    "type": """CASE event_type WHEN 'view' THEN 'user' WHEN 'click' THEN 'assistant'
+               WHEN 'purchase' THEN 'tool_use' WHEN 'error' THEN 'tool_result'
+               WHEN 'signup' THEN if(event_id % 2 = 0, 'system', NULL) END""",
+    "session_id": "if(event_id % 97 = 0, NULL, concat('s', user_id, '-', if(user_id % 2 = 0, day, floor(day / 7))))",
+    "project_id": "concat('p', if(user_id = 7, event_id % 2, user_id % 12))",
+    "timestamp": "if(event_id % 50 = 0, NULL, at)",
+    "ingested_at": "at + INTERVAL 5 MINUTES",
+    "extracted_at": "at + INTERVAL 1 HOUR",
+    "message_role": """CASE WHEN event_type IN ('view', 'error') THEN 'user'
+                       WHEN event_type IN ('click', 'purchase') THEN 'assistant' END""",
+    "message_content": f"""if(event_id % 41 = 0, NULL,
+                       concat(get(array({sql_list(TEMPLATES)}), cast(event_id % 12 AS int)), ' ', props))""",
+    "message_raw": "props",
+    "tool_name": f"if(event_type = 'purchase', get(array({sql_list(TOOLS)}), cast(event_id % 17 AS int)), NULL)",
+    "tool_id": "if(event_type = 'purchase', concat('t', event_id), NULL)",
+    "tool_use_id": "if(event_type = 'error', concat('t', event_id - 1), NULL)",
+}
 
 
 def bronze_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    eid, uid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    at = F.col("ts").cast("timestamp")
-    day = F.dayofmonth(at)
-    entry_type = F.when(kind == "signup", F.when(eid % 2 == 0, "system"))
-    for event_type, mapped in TYPES.items():
-        entry_type = F.when(kind == event_type, mapped).otherwise(entry_type)
-    part = F.when(uid % 2 == 0, day).otherwise(F.floor(day / 7)).cast("string")
-    session = F.when(eid % 97 != 0, F.concat(F.lit("s"), uid.cast("string"), F.lit("-"), part))
-    project = F.concat(F.lit("p"), F.when(uid == 7, eid % 2).otherwise(uid % 12).cast("string"))
-    timestamp = F.when(eid % 50 != 0, at)
-    ingested = at + F.expr("INTERVAL 5 MINUTES")
-    columns = {
-        "_id": F.concat(F.lit("e"), eid.cast("string")),
-        "type": entry_type,
-        "session_id": session,
-        "project_id": project,
-        "timestamp": timestamp,
-        "ingested_at": ingested,
-        "extracted_at": at + F.expr("INTERVAL 1 HOUR"),
-        "message_role": F.when(kind.isin("view", "error"), "user").when(
-            kind.isin("click", "purchase"), "assistant"
-        ),
-        "message_content": F.when(eid % 41 != 0, F.concat(_pick(TEMPLATES, eid % 12), F.lit(" "), F.col("props"))),
-        "message_raw": F.col("props"),
-        "source_file": F.concat(F.lit("/logs/projects/"), project, F.lit("/"), session, F.lit(".jsonl")),
-        "date": F.to_date(F.coalesce(timestamp, ingested)),
-        "tool_name": F.when(kind == "purchase", _pick(TOOLS, eid % 17)),
-        "tool_id": F.when(kind == "purchase", F.concat(F.lit("t"), eid.cast("string"))),
-        "tool_use_id": F.when(kind == "error", F.concat(F.lit("t"), (eid - 1).cast("string"))),
-    }
-    return e.select(*[columns[f.name].alias(f.name) for f in BRONZE.fields])
+    timed = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "*", "cast(ts AS timestamp) AS at", "dayofmonth(ts) AS day"
+    )
+    rows = timed.selectExpr(*[f"{sql} AS {name}" for name, sql in BRONZE_SQL.items()])
+    placed = rows.selectExpr(
+        "*",
+        "concat('/logs/projects/', project_id, '/', session_id, '.jsonl') AS source_file",
+        "to_date(coalesce(timestamp, ingested_at)) AS date",
+    )
+    return placed.select(*BRONZE.fieldNames())
 
 
 def documents_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
