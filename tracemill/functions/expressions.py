@@ -50,19 +50,20 @@ def sql_list(values) -> str:
     return ", ".join(f"'{v}'" for v in escaped)
 
 
-def task_category(column: str) -> Column:
-    """Ordered keyword rules on the case-folded text."""
-    whens = [
-        f"WHEN lower({column}) LIKE ANY ({sql_list(patterns)}) THEN '{category}'"
-        for category, patterns in rules.TASK_PATTERNS.items()
-    ]
+def task_category(folded: str) -> Column:
+    """Ordered keyword rules on a column of case-folded text. Plain LIKE terms turn into
+    substring searches in the plan, which LIKE ANY does not."""
+    whens = []
+    for category, patterns in rules.TASK_PATTERNS.items():
+        hit = " OR ".join(f"{folded} LIKE {sql_list([p])}" for p in patterns)
+        whens.append(f"WHEN {hit} THEN '{category}'")
     return F.expr(f"CASE {' '.join(whens)} ELSE 'other' END")
 
 
-def task_category_by_word(column: str) -> Column:
+def task_category_by_word(folded: str) -> Column:
     """The same idea with whole-word rules; one regular expression per category."""
     whens = [
-        f"WHEN lower({column}) RLIKE {sql_list(['|'.join(patterns)])} THEN '{category}'"
+        f"WHEN {folded} RLIKE {sql_list(['|'.join(patterns)])} THEN '{category}'"
         for category, patterns in rules.TASK_WORD_PATTERNS.items()
     ]
     return F.expr(f"CASE {' '.join(whens)} ELSE 'other' END")

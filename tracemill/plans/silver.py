@@ -32,7 +32,9 @@ def message_features(entries: DataFrame, classify=x.task_category) -> DataFrame:
     """Message rows with every column that needs no neighbour row."""
     at, text = F.col("effective_timestamp"), F.col("message_content")
     hour, dow = F.hour(at), x.day_of_week(at)
-    return staging.message_rows(entries).withColumns(
+    # A column of its own, so that the many rules share one folding of the text.
+    folded = staging.message_rows(entries).withColumn("_folded", F.lower(text))
+    return folded.withColumns(
         {
             "hour_of_day": hour,
             "day_of_week": dow,
@@ -40,12 +42,12 @@ def message_features(entries: DataFrame, classify=x.task_category) -> DataFrame:
             "month_of_year": F.month(at),
             "time_of_day": x.time_of_day(hour),
             "day_type": x.day_type(dow),
-            "task_category": classify("message_content"),
+            "task_category": classify("_folded"),
             "has_code_block": text.contains("```"),
             "has_url": text.contains("http"),
             "is_question": text.contains("?"),
         }
-    )
+    ).drop("_folded")
 
 
 def int_messages_enriched(entries: DataFrame, classify=x.task_category, **options) -> DataFrame:

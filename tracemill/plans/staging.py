@@ -37,7 +37,8 @@ TOOL_CALL_COLUMNS = [
 
 def staged_entries(bronze: DataFrame) -> DataFrame:
     """All entries, plus document id and block position for a definite order."""
-    suffix = F.regexp_extract("_id", r"_(\d+)$", 1)
+    # Null before the cast: a failed cast of an empty text is slow.
+    suffix = F.nullif(F.regexp_extract("_id", r"_(\d+)$", 1), F.lit(""))
     return bronze.where(F.col("_id").isNotNull()).select(
         F.col("_id").alias("conversation_id"),
         F.coalesce("type", F.lit("unknown")).alias("entry_type"),
