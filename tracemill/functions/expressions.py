@@ -151,11 +151,11 @@ def null_safe_key(value: Column) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """ISO date or date-time with optional offset; anything else gives null."""
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?$")
-    # A bare hour and a colon-less offset are valid ISO but not valid for the cast.
-    tidy = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-]\d{2}.*)?$", "$1:00$2")
-    tidy = F.regexp_replace(tidy, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    tidy = F.regexp_replace(tidy, r"([T ].*[+-]\d{2})$", "$1:00")
-    return F.when(iso, F.regexp_replace(tidy, ",", ".").try_cast("timestamp"))
+    # The cast wants seconds in front of an offset and a point in front of fractions.
+    full = F.regexp_replace(text, r"^([^T ]+[T ]\d{2})(Z|[+-].*)?$", "$1:00$2")
+    full = F.regexp_replace(full, r"^([^T ]+[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
+    full = F.regexp_replace(full, ",", ".")
+    return F.when(iso, F.coalesce(text.try_cast("timestamp"), full.try_cast("timestamp")))
 
 
 # The text format of a period per granularity.

@@ -63,9 +63,9 @@ def _present(text: Column) -> Column:
 
 
 def _json_source(v: Column, text: Column) -> Column:
-    """JSON text of a value: the original text for objects and lists, which keeps the key
-    order, else rebuilt, because extracted scalars lose their quotes."""
-    return F.when(_kind(v).isin("OBJECT", "ARRAY"), text).otherwise(F.to_json(v))
+    """JSON text of a value: the original text, which keeps key order and number format,
+    except for a string, whose quotes were lost when it was extracted."""
+    return F.when(_kind(v) == "STRING", F.to_json(v)).otherwise(text)
 
 
 def _is_text_item(v: Column) -> Column:

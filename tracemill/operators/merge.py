@@ -30,8 +30,10 @@ def insert_new(existing: DataFrame, incoming: DataFrame, key: str = "_id") -> Da
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path, or a path matching the pattern, exists."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def _remove_days(spark: SparkSession, path: str, column: str, days: list) -> None:
@@ -61,7 +63,7 @@ def replace_by_key(spark: SparkSession, path: str, incoming: DataFrame, key: str
     if not table_exists(spark, path):
         write_days(incoming, path, day)
         return {"touched_days": len(_days(incoming, day))}
-    existing = spark.read.parquet(path)
+    existing = spark.read.schema(incoming.schema).parquet(path)
     keys = incoming.select(key).distinct()
     # Finding the old days reads two narrow columns.
     old_days = _days(existing.select(key, day).join(keys, key, "left_semi"), day)
@@ -85,7 +87,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, staging: str, ke
     """
     versions = incoming
     if table_exists(spark, path):
-        existing = spark.read.parquet(path)
+        existing = spark.read.schema(incoming.schema).parquet(path)
         same = existing.join(incoming.select(key).distinct(), key, "left_semi")
         versions = incoming.unionByName(same.select(*incoming.columns))
     latest_per_id(versions, key).write.mode("overwrite").parquet(staging)

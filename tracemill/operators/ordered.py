@@ -107,14 +107,16 @@ def _with_slices(rows, group, ts, doc, limit):
         {
             "_group": null_safe_key(F.col(group)),
             "_hour": F.coalesce(F.floor(micros / F.lit(HOUR_MICROS)), F.lit(NO_TIMESTAMP_HOUR)),
-            "_tie": tie,
+            # Other digits than those that order the documents: a sample picked by the
+            # ordering digits would lie at one end of the order.
+            "_pick": F.conv(F.substring(F.md5(F.col(doc)), 9, 7), 16, 10).cast("bigint"),
             "_place": F.coalesce(F.pmod(micros, F.lit(HOUR_MICROS)), F.lit(0)) * (1 << TIE_BITS) + tie,
         }
     )
     keys = ["_group", "_hour"]
     # At most total / limit rows, so the size of this broadcast is bounded by the limit.
     hot = F.broadcast(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
-    sampled = rows.where(F.col("_tie") < max(1, (SAMPLES_PER_SLICE << TIE_BITS) // limit))
+    sampled = rows.where(F.col("_pick") < max(1, (SAMPLES_PER_SLICE << TIE_BITS) // limit))
     cuts = (
         sampled.join(hot, keys, "left_semi")
         .groupBy(*keys)
@@ -125,7 +127,7 @@ def _with_slices(rows, group, ts, doc, limit):
     return (
         rows.join(F.broadcast(cuts), keys, "left")
         .withColumn("_sub", F.coalesce(F.expr("size(filter(_cuts, c -> c <= _place))"), F.lit(0)))
-        .drop("_cuts", "_place", "_tie")
+        .drop("_cuts", "_place", "_pick")
     )
 
 

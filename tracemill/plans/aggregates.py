@@ -225,6 +225,11 @@ def file_operation_sets(operations: DataFrame) -> DataFrame:
         x.count_where(F.col("is_edit")).alias("edits"),
         F.sum("operation_content_length").alias("length"),
     )
+    # Grouping sets give no overall row for no input; this row, which adds nothing, gives one.
+    nothing = cells.sparkSession.range(1).select(
+        *[F.lit(0 if f.name == "n" else None).cast(f.dataType).alias(f.name) for f in cells.schema.fields]
+    )
+    cells = cells.unionByName(nothing)
     # A copy, because inside grouping sets a grouped column reads as null elsewhere.
     cells = cells.withColumn("_ext", F.col("file_extension"))
     grouped = cells.groupingSets([[], *[[c] for c in columns]], *columns).agg(
@@ -267,8 +272,7 @@ def agg_code_changes(operations: DataFrame) -> DataFrame:
         .select(
             "aggregation_level",
             "aggregation_key",
-            # The overall row exists even when there are no operations at all.
-            x.zero(total).alias("total_operations"),
+            "total_operations",
             "read_operations",
             "write_operations",
             "edit_operations",

@@ -13,6 +13,7 @@ from tracemill.functions.expressions import null_safe_key
 from tracemill.operators import merge
 from tracemill.operators.flatten import flatten_documents
 from tracemill.plans.catalog import LONG_TEXTS, MODELS, Lineage, Options, ancestors
+from tracemill.schemas import BRONZE
 from tracemill.sources import documents, tables
 
 
@@ -74,7 +75,7 @@ def load(spark: SparkSession, job: Job) -> dict:
         stats = merge.upsert(spark, job.bronze, fresh, job.staging("bronze"))
     version = tables.current_version(spark, job.flattened)
     _remember_version(spark, job, version)
-    return {**stats, "version": version, "rows": spark.read.parquet(job.bronze).count()}
+    return {**stats, "version": version, "rows": read_bronze(spark, job).count()}
 
 
 def _loaded_version(spark: SparkSession, job: Job) -> int:
@@ -89,7 +90,7 @@ def _remember_version(spark: SparkSession, job: Job, version: int) -> None:
 
 
 def read_bronze(spark: SparkSession, job: Job) -> DataFrame:
-    return spark.read.parquet(job.bronze)
+    return spark.read.schema(BRONZE).parquet(job.bronze)
 
 
 def touched_sessions(rows: DataFrame, since: datetime.date) -> DataFrame:
@@ -100,23 +101,29 @@ def touched_sessions(rows: DataFrame, since: datetime.date) -> DataFrame:
     return rows.withColumn("_session", key).join(recent, "_session", "left_semi").drop("_session")
 
 
-def _write_incremental(spark: SparkSession, job: Job, name: str, models: Lineage) -> str:
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """A day-partitioned table without rows has no day folders, hence no readable schema."""
+    return merge.table_exists(spark, f"{path}/date_key=*")
+
+
+def _write_incremental(spark: SparkSession, job: Job, name: str, models: Lineage) -> tuple[str, DataFrame]:
     """Rebuild the fact, or recompute its late window and replace those rows by key."""
     path, key = job.model(name), MODELS[name].key
-    if job.full_refresh or not merge.table_exists(spark, path):
-        models[name].hint("rebalance", "date_key").write.mode("overwrite").option(
+    if job.full_refresh or not _has_rows(spark, path):
+        rows = models[name]
+        rows.hint("rebalance", "date_key").write.mode("overwrite").option(
             "partitionOverwriteMode", "static"
         ).partitionBy("date_key").parquet(path)
-        return "rebuilt"
+        return "rebuilt", rows
     # One scalar, so that the day filter is a constant and prunes folders.
-    newest = spark.read.parquet(path).agg(F.max("date_key")).first()[0]
+    newest = spark.read.schema("date_key date").parquet(path).agg(F.max("date_key")).first()[0]
     since = newest - datetime.timedelta(days=1)
     recent = Lineage(models.bronze, models.options, dict(models.stored))
     recent.stored["message_features"] = touched_sessions(models["message_features"], since)
-    staged = job.staging(name)
-    recent[name].where(F.col("partition_date") >= F.lit(since)).write.mode("overwrite").parquet(staged)
+    rows, staged = recent[name], job.staging(name)
+    rows.where(F.col("partition_date") >= F.lit(since)).write.mode("overwrite").parquet(staged)
     merge.replace_by_key(spark, path, spark.read.parquet(staged), key, "date_key")
-    return f"merged since {since}"
+    return f"merged since {since}", rows
 
 
 def transform(spark: SparkSession, job: Job) -> dict:
@@ -132,12 +139,12 @@ def transform(spark: SparkSession, job: Job) -> dict:
         start = time.time()
         path = job.staging(name) if model.kind == "shared" else job.model(name)
         if model.kind == "incremental":
-            note = _write_incremental(spark, job, name, models)
+            note, rows = _write_incremental(spark, job, name, models)
         else:
-            models[name].drop(*LONG_TEXTS).write.mode("overwrite").parquet(path)
-            note = "rebuilt"
+            note, rows = "rebuilt", models[name].drop(*LONG_TEXTS)
+            rows.write.mode("overwrite").parquet(path)
         spark.catalog.refreshByPath(path)
-        models.stored[name] = spark.read.parquet(path)
+        models.stored[name] = spark.read.schema(rows.schema).parquet(path)
         done[name] = {"result": note, "seconds": round(time.time() - start, 2)}
     return done
 
@@ -154,9 +161,10 @@ def run_pipeline(spark: SparkSession, job: Job) -> dict:
 
 def stored_models(spark: SparkSession, job: Job) -> Lineage:
     """The models of the last run, for queries, checks and SQL views."""
-    stored = {
-        n: spark.read.parquet(job.model(n))
-        for n, m in MODELS.items()
-        if m.kind in ("table", "incremental") and merge.table_exists(spark, job.model(n))
-    }
+    stored = {}
+    for name, model in MODELS.items():
+        path = job.model(name)
+        there = {"table": merge.table_exists, "incremental": _has_rows}.get(model.kind)
+        if there and there(spark, path):
+            stored[name] = spark.read.parquet(path)
     return Lineage(read_bronze(spark, job), job.options, stored)

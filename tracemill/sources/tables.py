@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.operators.merge import table_exists
+from tracemill.schemas import BRONZE
 
+LAYOUT = T.StructType([*BRONZE.fields, T.StructField("version", T.IntegerType())])
 COMMIT = "version int, committed_at timestamp, operation string, added_records bigint, high_water_mark timestamp"
 
 
@@ -41,8 +43,7 @@ def append(rows: DataFrame, path: str, operation: str = "append") -> dict:
     rows.withColumn("version", F.lit(version)).hint("rebalance", "date").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("date", "version").parquet(data)
-    layout = T.StructType([*rows.schema.fields, T.StructField("version", T.IntegerType())])
-    written = spark.read.schema(layout).parquet(data).where(F.col("version") == version)
+    written = spark.read.schema(LAYOUT).parquet(data).where(F.col("version") == version)
     stats = written.agg(F.count(F.lit(1)), F.max("ingested_at")).first()
     now = datetime.datetime.now(datetime.timezone.utc)
     log = spark.createDataFrame([(version, now, operation, stats[0], stats[1])], COMMIT)
@@ -55,13 +56,13 @@ def snapshot(spark: SparkSession, path: str, as_of_version: int | None = None) -
     not read."""
     last = current_version(spark, path)
     wanted = last if as_of_version is None else min(as_of_version, last)
-    return spark.read.parquet(f"{path}/data").where(F.col("version") <= wanted).drop("version")
+    return spark.read.schema(LAYOUT).parquet(f"{path}/data").where(F.col("version") <= wanted).drop("version")
 
 
 def snapshot_since(spark: SparkSession, path: str, version: int) -> DataFrame:
     """Logged rows of later versions than the given one."""
     fresh = F.col("version").between(version + 1, current_version(spark, path))
-    return spark.read.parquet(f"{path}/data").where(fresh).drop("version")
+    return spark.read.schema(LAYOUT).parquet(f"{path}/data").where(fresh).drop("version")
 
 
 def history(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
@@ -75,7 +76,7 @@ def describe(spark: SparkSession, path: str) -> dict:
     last = log.orderBy(F.desc("version")).first()
     info = {"location": path, "partition_spec": ["date"], "snapshot_count": log.count()}
     if last:
-        info["schema_fields"] = [c for c in spark.read.parquet(f"{path}/data").columns if c != "version"]
+        info["schema_fields"] = BRONZE.fieldNames()
         info["current_snapshot_id"] = last["version"]
         info["snapshot_timestamp"] = last["committed_at"]
     return info

@@ -81,11 +81,11 @@ def activity_stream(docs: DataFrame, period: str = "1 hour", lateness: str = "1
 
 
 def progress(query: StreamingQuery) -> dict:
-    """Counters of a running stream."""
+    """Counters of a stream: latest batch, rows over the remembered batches, time, state."""
     last = query.lastProgress
     return {
         "batch": last.batchId if last else None,
-        "rows": last.numInputRows if last else 0,
+        "rows": sum(p.numInputRows for p in query.recentProgress),
         "at": last.timestamp if last else None,
         "active": query.isActive,
     }
