@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import expressions as x
@@ -142,7 +142,7 @@ def category_totals(calls: DataFrame) -> DataFrame:
 
 
 def tool_hours(calls: DataFrame) -> DataFrame:
-    return tool_cells(calls).groupBy("tool_name", "hour_of_day").agg(F.sum("n").alias("call_count"))
+    return calls.groupBy("tool_name", "hour_of_day").agg(F.count(F.lit(1)).alias("call_count"))
 
 
 def peak_hours(calls: DataFrame) -> DataFrame:
@@ -170,6 +170,8 @@ def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
             (x.ratio(F.sum("micros"), F.sum("timed")) / F.lit(1e6)).alias("mean_seconds"),
             (F.max("longest") / F.lit(1e6)).alias("longest_seconds"),
         )
+        # Over one row per tool; saves another pass over the calls.
+        .withColumn("category_total_calls", F.sum("total_calls").over(Window.partitionBy("tool_category")))
     )
     medians = exact_median(
         calls.withColumn("_us", x.to_micros(F.col("estimated_execution_seconds"))),
@@ -177,13 +179,11 @@ def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
         "_us",
         "_median",
     )
-    totals = category_totals(calls).select("tool_category", F.col("total_calls").alias("category_total_calls"))
     known = tools.select("tool_name", "tool_description", "popularity_rank", "usage_tier")
-    # Every side holds a row per tool or per category; sizes are left to run-time planning.
+    # Every side holds a row per tool; sizes are left to run-time planning.
     return (
         per_tool.join(medians, ["tool_name", "tool_category"], "left")
         .join(peak_hours(calls), "tool_name", "left")
-        .join(totals, "tool_category", "left")
         .join(known, "tool_name", "left")
         .select(
             "tool_name",
