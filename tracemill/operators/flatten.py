@@ -94,11 +94,18 @@ def _block(block_type, content, form=None, name=None, tool_id=None, use_id=None,
     return F.struct(*[(_null() if c is None else c).alias(n) for n, c in parts.items()])
 
 
-def _read_block(v: Column, text: Column) -> Column:
-    """A list element as a block; block_type is null for an element to drop."""
-    kind = F.when(_is_text_item(v), "text").when(
-        (_kind(v) == "OBJECT") & _string(v, "$.type").isin("tool_use", "tool_result"), _string(v, "$.type")
+def _label(v: Column) -> Column:
+    """What a list element is: string, text, tool_use, tool_result, or null to drop it."""
+    named = F.try_variant_get(v, "$", "map<string,variant>")["type"]
+    label = F.try_variant_get(named, "$", "string")
+    return F.when(named.isNotNull(), F.when(label.isin("text", "tool_use", "tool_result"), label)).when(
+        _kind(v) == "STRING", "string"
     )
+
+
+def _read_block(element: Column) -> Column:
+    """A labelled element as a block."""
+    v, text, label = element["v"], element["t"], element["label"]
     given = _part(v, "$.input")
     # Empty inputs of any type leave no content.
     empty = given.isNull() | F.to_json(given).isin("null", "{}", "[]", '""', "0", "false", "0.0")
@@ -114,18 +121,27 @@ def _read_block(v: Column, text: Column) -> Column:
         .otherwise(_json_source(result, F.get_json_object(text, "$.content")))
     )
     printed = result.isNotNull() & ~result_kind.isin("STRING", "ARRAY", "VOID")
-    is_call = kind == "tool_use"
-    is_result = kind == "tool_result"
-    return _block(
-        kind,
-        F.when(kind == "text", _item_text(v))
-        .when(is_call & ~empty, _json_source(given, F.get_json_object(text, "$.input")))
-        .when(is_result, result_text),
-        F.when(is_call, JSON).when(is_result & printed, PRINTED).otherwise(TEXT),
-        F.when(is_call, _string(v, "$.name")),
-        F.when(is_call, _string(v, "$.id")),
-        F.when(is_result, _string(v, "$.tool_use_id")),
-        F.when(is_call | is_result, text),
+    speech = _block(
+        F.lit("text"),
+        F.when(label == "string", _string(v, "$")).otherwise(F.coalesce(_string(v, "$.text"), F.lit(""))),
+    )
+    call = _block(
+        label,
+        F.when(~empty, _json_source(given, F.get_json_object(text, "$.input"))),
+        F.lit(JSON),
+        name=_string(v, "$.name"),
+        tool_id=_string(v, "$.id"),
+        raw=text,
+    )
+    answer = _block(
+        label,
+        result_text,
+        F.when(printed, PRINTED).otherwise(TEXT),
+        use_id=_string(v, "$.tool_use_id"),
+        raw=text,
+    )
+    return (
+        F.when(label == "tool_use", call.cast(BLOCK)).when(label == "tool_result", answer.cast(BLOCK)).otherwise(speech.cast(BLOCK))
     )
 
 
@@ -175,9 +191,11 @@ def content_blocks(docs: DataFrame) -> DataFrame:
         F.try_variant_get("_content", "$", "array<variant>").alias("v"),
         F.from_json(F.get_json_object("entry", "$.message.content"), "array<string>").alias("t"),
     )
-    listed = F.filter(
-        F.transform(elements, lambda e: _read_block(e["v"], e["t"])), lambda b: b["block_type"].isNotNull()
+    # Labelled first, so that the test of an element's type runs once per element.
+    labelled = F.transform(
+        elements, lambda e: F.struct(e["v"].alias("v"), e["t"].alias("t"), _label(e["v"]).alias("label"))
     )
+    listed = F.transform(F.filter(labelled, lambda e: e["label"].isNotNull()), _read_block)
     d = d.withColumn("_listed", F.when(is_list, listed))
     whole = F.get_json_object("entry", "$.message")
     scalar = F.col("_content_kind") != "STRING"
