@@ -100,3 +100,39 @@ def test_declared_counts():
     rules = checks.DECLARED.values()
     count = lambda kind: sum(len(r.get(kind, [])) for r in rules)
     assert [count(k) for k in ("not_null", "unique", "accepted", "refers")] == [91, 20, 30, 10]
+
+
+def test_backfill_appends_again_and_the_merge_drops_repeats(spark, job):
+    before = read_bronze(spark, job).select("_id").collect()
+    report = run_pipeline(spark, replace(job, full_backfill=True, skip_transform=True))
+    assert report["extraction"]["added_records"] == len(before)
+    assert sorted(read_bronze(spark, job).select("_id").collect()) == sorted(before)
+
+
+def test_display_order(spark, job):
+    days = [r["date_key"] for r in stored_models(spark, job).in_display_order("agg_daily_summary").collect()]
+    assert days == sorted(days, reverse=True)
+
+
+def test_seed_from_csv(spark, tmp_path):
+    from tracemill.sources.seeds import tool_categories
+
+    (tmp_path / "seed.csv").write_text("tool_name,tool_category,description\nRead,file_operations,Read things\n")
+    assert [tuple(r) for r in tool_categories(spark, str(tmp_path / "seed.csv")).collect()] == [
+        ("Read", "file_operations", "Read things")
+    ]
+    assert tool_categories(spark).count() == 15
+
+
+def test_old_deliveries_are_dropped(spark, tmp_path):
+    now = datetime.datetime(2024, 3, 10, tzinfo=datetime.timezone.utc)
+    path = str(tmp_path / "landing")
+    one = spark.createDataFrame([("a", now)], "_id string, at timestamp")
+    for batch, age in enumerate([9, 8, 1]):
+        at = F.col("at") - F.expr(f"INTERVAL {age} DAYS")
+        empty = [F.lit(None).cast("string").alias(c) for c in ("type", "sessionId", "projectId", "timestamp")]
+        rest = [F.lit(None).cast("string").alias(c) for c in ("sourceFile", "entry")]
+        documents.write_landing(one.select("_id", *empty, at.alias("ingestedAt"), *rest), path, batch)
+    synced = now - datetime.timedelta(days=8, hours=12)
+    assert documents.drop_old_deliveries(spark, path, synced, now) == [0]
+    assert documents.read_landing(spark, path).count() == 2

@@ -36,10 +36,9 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _remove_days(spark: SparkSession, path: str, column: str, days: list) -> None:
-    for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"{column}={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _days(rows: DataFrame, column: str) -> set:
@@ -74,7 +73,8 @@ def replace_by_key(spark: SparkSession, path: str, incoming: DataFrame, key: str
     kept = touched.join(keys, key, "left_anti")
     emptied = old_days - new_days - (_days(kept, day) if old_days - new_days else set())
     write_days(kept.select(*incoming.columns).unionByName(incoming), path, day)
-    _remove_days(spark, path, day, sorted(emptied))
+    for gone in sorted(emptied):
+        remove_folder(spark, f"{path}/{day}={gone}")
     spark.catalog.refreshByPath(path)
     return {"touched_days": len(old_days | new_days), "emptied_days": len(emptied)}
 

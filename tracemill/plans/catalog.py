@@ -126,6 +126,15 @@ MODELS: dict[str, Model] = {
 }
 
 
+# The order in which a reader sees a table; stored tables are unordered.
+DISPLAY_ORDER = {
+    "dim_date": [F.asc, "date_key"],
+    "agg_daily_summary": [F.desc, "date_key"],
+    "agg_hourly_activity": [F.asc, "day_of_week", "hour_of_day"],
+    "agg_tool_efficiency": [F.desc, "total_calls"],
+}
+
+
 def ancestors(name: str) -> list[str]:
     """The model and everything it reads, inputs first."""
     seen: list[str] = []
@@ -167,6 +176,12 @@ class Lineage:
                 self.built[name] = model.build(self.options, *[self[i] for i in model.inputs])
         return self.built[name]
 
+    def in_display_order(self, name: str) -> DataFrame:
+        if name not in DISPLAY_ORDER:
+            return self[name]
+        direction, *columns = DISPLAY_ORDER[name]
+        return self[name].orderBy(*[direction(c) for c in columns])
+
     def register_views(self, names: list[str] | None = None) -> None:
         """Temp views, so that any SQL text can run over the models."""
         for name in names or list(MODELS):

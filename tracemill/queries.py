@@ -270,13 +270,24 @@ CHECK_QUERIES: dict[str, Query] = {
     ),
 }
 
-QUERIES: dict[str, Query] = {
-    **MODEL_QUERIES,
-    **SPLIT_QUERIES,
-    **PART_QUERIES,
-    **DASHBOARD_QUERIES,
-    **LOG_QUERIES,
-    **DATA_QUERIES,
-    **KPI_QUERIES,
-    **CHECK_QUERIES,
-}
+def in_utc(query: Query) -> Query:
+    """All timestamps of the models are UTC, whatever the session was set to."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+
+    return run
+
+
+GROUPS = [
+    MODEL_QUERIES,
+    SPLIT_QUERIES,
+    PART_QUERIES,
+    DASHBOARD_QUERIES,
+    LOG_QUERIES,
+    DATA_QUERIES,
+    KPI_QUERIES,
+    CHECK_QUERIES,
+]
+QUERIES: dict[str, Query] = {name: in_utc(query) for group in GROUPS for name, query in group.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions import rules
-from tracemill.operators.merge import table_exists
+from tracemill.operators.merge import remove_folder, table_exists
 from tracemill.schemas import DOCUMENT
 from tracemill.sources.session_log import SessionLogSource
 
@@ -98,6 +98,23 @@ def retained(docs: DataFrame, synced_until: datetime.datetime | None, now: datet
     return docs.where(~((F.col("ingestedAt") <= F.lit(synced_until)) & (F.col("ingestedAt") < old)))
 
 
+def drop_old_deliveries(
+    spark: SparkSession, path: str, synced_until: datetime.datetime, now: datetime.datetime, days: int = RETENTION_DAYS
+) -> list[int]:
+    """Delete the folders of deliveries that were extracted and are older than the limit.
+
+    All documents of a delivery carry one delivery time, so whole folders go and nothing is
+    rewritten. The list of deliveries is short: one entry per micro-batch kept.
+    """
+    per_batch = read_landing(spark, path).groupBy("batch").agg(F.max("ingestedAt").alias("at"))
+    old = F.lit(now - datetime.timedelta(days=days))
+    gone = per_batch.where((F.col("at") <= F.lit(synced_until)) & (F.col("at") < old)).select("batch").collect()
+    batches = sorted(r["batch"] for r in gone)
+    for batch in batches:
+        remove_folder(spark, f"{path}/batch={batch}")
+    return batches
+
+
 def ingest_status(docs: DataFrame, synced_until: datetime.datetime | None) -> DataFrame:
     """Pending and synced documents and the last synced delivery."""
     done = F.lit(False) if synced_until is None else F.col("ingestedAt") <= F.lit(synced_until)
