@@ -46,11 +46,17 @@ def _days(rows: DataFrame, column: str) -> set:
     return {r[0] for r in rows.select(column).distinct().collect()}
 
 
-def write_days(rows: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
-    """Rebalancing by day gives few files per day, and Spark splits a large day over several
-    tasks instead of gathering it in one."""
-    spread = rows.hint("rebalance", column)
-    spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+def write_days(rows: DataFrame, path: str, day: str, whole: bool = False) -> None:
+    """Overwrite the days that occur in the rows, or the whole table.
+
+    Rebalancing by day gives few files per day, and Spark splits a large day over several
+    tasks instead of gathering it in one. Files are sorted by session, so a filter on it
+    skips row groups.
+    """
+    order = [c for c in (day, "session_id") if c in rows.columns]
+    spread = rows.hint("rebalance", day).sortWithinPartitions(*order)
+    mode = "static" if whole else "dynamic"
+    spread.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(day).parquet(path)
 
 
 def replace_by_key(spark: SparkSession, path: str, incoming: DataFrame, key: str, day: str) -> dict:

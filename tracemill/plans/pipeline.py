@@ -63,11 +63,8 @@ def load(spark: SparkSession, job: Job) -> dict:
     """Bring bronze up to date with the newest append, or rebuild it from all appends."""
     if job.full_refresh or not merge.table_exists(spark, job.bronze):
         everything = merge.latest_per_id(tables.snapshot(spark, job.flattened))
-        target = job.bronze
-        everything.hint("rebalance", "date").write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy("date").parquet(target)
-        spark.catalog.refreshByPath(target)
+        merge.write_days(everything, job.bronze, "date", whole=True)
+        spark.catalog.refreshByPath(job.bronze)
         stats = {"rebuilt": True}
     else:
         loaded = _loaded_version(spark, job)
@@ -111,9 +108,7 @@ def _write_incremental(spark: SparkSession, job: Job, name: str, models: Lineage
     path, key = job.model(name), MODELS[name].key
     if job.full_refresh or not _has_rows(spark, path):
         rows = models[name]
-        rows.hint("rebalance", "date_key").write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy("date_key").parquet(path)
+        merge.write_days(rows, path, "date_key", whole=True)
         return "rebuilt", rows
     # One scalar, so that the day filter is a constant and prunes folders.
     newest = spark.read.schema("date_key date").parquet(path).agg(F.max("date_key")).first()[0]
