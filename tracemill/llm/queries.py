@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, packing, simhash
+from tracemill.llm import bpe, line_dedup, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and removed, and the hash of the text that is left (null for null)."""
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_removed", F.sha2("new_text", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
     return rows.select(
@@ -46,7 +52,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
