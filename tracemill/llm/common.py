@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +70,19 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def find(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column, or a field of a struct column."""
+    name, _, field = column.partition(".")
+    found = batch.column(batch.schema.get_field_index(name))
+    return pc.struct_field(found, field) if field else found
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one add up to ``limit`` bytes or are a single row."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
         lengths = np.zeros(batch.num_rows, np.int64)
         if batch.num_rows:
-            lengths = np.diff(byte_column(batch.column(at))[1])
+            lengths = np.diff(byte_column(find(batch, column))[1])
         start = size = 0
         for i, n in enumerate(lengths.tolist()):
             if size + n > limit and i > start:
