@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, line_dedup, packing, simhash, toxicity
+from tracemill.llm import bpe, language_id, line_dedup, packing, quality_rules, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs, language_id.learnable()))
+    return found.select("doc_id", (~language_id.learnable()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -57,11 +63,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the texts that ``labels.quality`` marks 1."""
+    docs = table(spark, sf_dir, "documents")
+    ratios = quality_rules.fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    found = quality_rules.assess(docs.select("doc_id", "text"), ratios)
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_language_id": op3_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracemill.llm.common import blocks, byte_column, check_columns, find, ranges
 
@@ -198,7 +199,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64())], ["row", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, rows.schema.add("score", "double"))
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("score", "double"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
