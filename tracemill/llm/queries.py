@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, language_id, line_dedup, packing, quality_rules, simhash, toxicity
+from tracemill.llm import bpe, html_extract, language_id, line_dedup, packing, quality_rules, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are the texts that ``labels.quality`` marks 1."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
