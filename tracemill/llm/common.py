@@ -1,10 +1,12 @@
-"""What the operators share: a scratch folder all executors reach, and text columns as Arrow bytes."""
+"""What the operators share: code and scratch folders that all executors reach, and text columns as Arrow bytes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors, once a session, in case they have no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="llm-code-")) / "package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    context._llm_shipped = True
+
+
 class Scratch:
     """Tables below ``spark.checkpoint.dir``; they cut lineage and outlive lost executors.
 
