@@ -23,14 +23,7 @@ _ROWS = 4096
 def fingerprint(text: bytes, words: int) -> int:
     """64-bit fingerprint of a text; shingles are counted with their repeats."""
     tokens = text.translate(_LOWER).split()
-    if not tokens:
-        return 0
-    if len(tokens) <= words:
-        shingles = [b" ".join(tokens)]
-    else:
-        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+    hashes = _shingle_hashes(tokens, words)
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _ROWS):
         part = hashes[at : at + _ROWS].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -113,7 +106,110 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; of repeated ids all rows stay."""
-    gone = near_duplicates(docs, words).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+#: Part fingerprints of a level, at most; parts hold 2 to 8 shingles on average.
+PARTS = 32
+
+
+def _sketch(text: bytes, words: int) -> tuple[bytes, int, int, list[dict]]:
+    """Digest of the word sequence, number of distinct shingles, whole fingerprint, and part fingerprints."""
+    tokens = text.translate(_LOWER).split()
+    digest = xxhash.xxh3_128_digest(b" ".join(tokens))
+    hashes = np.unique(_shingle_hashes(tokens, words))
+    if not len(hashes):
+        return digest, 0, 0, []
+    parts = []
+    exact = np.log2(max(len(hashes) / 4, 1))
+    for level in {int(np.floor(exact)), int(np.ceil(exact))}:
+        part = (hashes & np.uint64((1 << level) - 1)).astype(np.int64)
+        order = np.flatnonzero(part < PARTS)
+        order = order[np.argsort(part[order], kind="stable")]
+        if not len(order):
+            continue
+        head = np.flatnonzero(np.append(True, np.diff(part[order]) > 0))
+        bits = np.unpackbits(hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        votes = np.add.reduceat(bits.astype(np.int64), head, axis=0)
+        size = np.diff(np.append(head, len(order)))[:, None]
+        prints = np.packbits(2 * votes > size, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+        parts += [{"level": level, "part": p, "print": f} for p, f in zip(part[order][head].tolist(), prints.tolist(), strict=True)]
+    return digest, len(hashes), fingerprint(text, words), parts
+
+
+def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(tokens)] if len(tokens) <= words else map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+
+_PART = pa.struct([("level", pa.int32()), ("part", pa.int32()), ("print", pa.int64())])
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` for every row, linked at a Jaccard similarity of distinct shingles.
+
+    Whole fingerprints tell texts apart whose similarity is well above 0.8 only, as one bit in seven differs
+    there. So a text is also cut into parts by the low bits of its shingles' hashes, about one per 2 to 8
+    shingles (two levels, so that texts of similar size share one; ``PARTS`` of each), and each part has a
+    fingerprint. Texts at the similarity share a part's fingerprint with a chance above 0.99. Candidates are
+    whole fingerprints within radius 2 by the covering tables, and equal part fingerprints; each text of
+    a bucket is tried with the first and the last one of it, so buckets cost rows in proportion to their size. Every candidate is
+    checked on the shingle sets themselves. Equal word sequences are one class from the start; texts without
+    words are copies of each other; rows of one doc_id are one document.
+    """
+    check_columns(docs, "doc_id", "text")
+    scratch = Scratch(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 16 << 20):
+            rows = [_sketch((t.as_py() or "").encode(), words) for t in batch.column(1)]
+            types = (pa.binary(), pa.int64(), None, pa.list_(_PART))
+            columns = [pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)) if t is None else pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.record_batch([batch.column(0), *columns], ["doc_id", "content", "n", "fp", "parts"])
+
+    schema = f"doc_id {kind}, content binary, n bigint, fp bigint, parts array<struct<level:int,part:int,print:bigint>>"
+    prints = scratch.save(docs.select("doc_id", "text").mapInArrow(sketch, schema))
+    classes = scratch.save(prints.groupBy("content").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parts").alias("parts")))
+    known = classes.where("n > 0")
+    me = F.struct("n", "content")
+    rows = known.select(me.alias("x"), F.inline("parts"))
+    key = ["level", "part", "print"]
+    crowded = rows.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low.content != high.content")
+    tried = rows.join(crowded, key).select("x", F.explode(F.array("low", "high")).alias("y"))
+    same = known.groupBy("fp").agg(F.min(me).alias("low"))
+    close = links(same.select("fp")).join(same.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    equal = known.select("fp", me.alias("x")).join(same, "fp").select("x", F.col("low").alias("y"))
+    tried = tried.unionByName(close).unionByName(equal).where("x.content != y.content")
+    tried = tried.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    pairs = scratch.save(tried.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
+    owners = classes.join(wanted, "content").select("content", F.col("first").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(owners, "doc_id")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 16 << 20):
+            found, keep = [], []
+            for text, content in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                tokens = (text.as_py() or "").encode().translate(_LOWER).split()
+                keep.append(xxhash.xxh3_128_digest(b" ".join(tokens)) == content)
+                found.append(np.unique(_shingle_hashes(tokens, words).astype(np.uint32)).view(np.int32) if keep[-1] else None)
+            yield pa.record_batch([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["content", "shingles"]).filter(pa.array(keep))
+
+    sets = scratch.save(texts.select("text", "content").mapInArrow(shingles, "content binary, shingles array<int>").dropDuplicates(["content"]))
+    left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("p"))
+    right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("q"))
+    both = F.size(F.array_intersect("p", "q"))
+    alike = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b")
+    parts = scratch.save(components(alike, scratch))
+    named = classes.select("content", "first").join(parts, F.col("content") == F.col("node")).select("content", "first", "component")
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    owners = classes.select("content", "first").join(named.join(smallest, "component").select("content", "component_id"), "content", "left")
+    owners = owners.select("content", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.select("doc_id", "content").join(owners, "content").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the documents whose group has a smaller doc_id. All columns and other rows stay."""
+    gone = similar_groups(docs, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
