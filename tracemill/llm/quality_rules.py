@@ -22,6 +22,8 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Mean log ratio per n-gram below which a text is turned down. Trusted texts lie around 0.
 MIN_RATIO = -0.08
+#: Added to either side of a ratio, in n-grams of trusted texts.
+SHRINK = 12.0
 #: Trusted ids are broadcast up to this number (8 bytes each), and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 BLOCK_BYTES = 2 << 20
@@ -124,7 +126,8 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """The log ratio of each bucket, from every row of ``docs`` and those whose doc_id is in ``trusted``.
 
     Each task adds up its rows and hands out one count per bucket; these are summed by bucket, and
-    the 65,536 sums come to the driver. Both sides are smoothed by one. Without trusted texts all ratios are 0.
+    the 65,536 sums come to the driver. A bucket's ratio is that of its trusted count to the count its share of the
+    corpus leads to expect, both raised by ``SHRINK``, so buckets seen a few times say little. Without trusted texts all ratios are 0.
     """
     check_columns(docs, "doc_id", "text")
     check_columns(trusted, "doc_id")
@@ -149,8 +152,8 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         total[k][sums["bucket"].to_numpy()] = sums[name].to_numpy()
     if not total[1].any():
         return np.zeros(1 << BUCKET_BITS)
-    share = np.log((total + 1) / (total.sum(axis=1, keepdims=True) + total.shape[1]))
-    return share[1] - share[0]
+    expected = total[0] * (total[1].sum() / total[0].sum())
+    return np.log((total[1] + SHRINK) / (expected + SHRINK))
 
 
 def assess(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
