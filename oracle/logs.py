@@ -213,7 +213,7 @@ LOG_ORACLE: dict[str, str] = {
     "export_rows": sql(
         """SELECT * FROM docs WHERE "projectId" = 'p3'
            AND "ingestedAt" BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-14'
-           ORDER BY "ingestedAt" DESC, _id DESC LIMIT 10000"""
+           ORDER BY "ingestedAt" DESC, _id DESC"""
     ),
     "activity_by_hour": sql(chart("%Y-%m-%dT%H:00", HOUR_LABEL, "", 90)),
     "activity_by_day": sql(chart("%Y-%m-%d", DAY_LABEL, WEEK, 14)),

@@ -2,6 +2,7 @@ import datetime
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import merge
@@ -87,3 +88,44 @@ def test_exact_median(spark):
 
 def test_median_of_nothing_has_no_row(spark):
     assert exact_median(spark.createDataFrame([(None,)], "v bigint"), [], "v", "m").count() == 0
+
+
+@pytest.mark.parametrize("dies_at", ["storing", "publishing", "cleaning"])
+def test_a_merge_that_dies_loses_nothing(spark, tmp_path, monkeypatch, dies_at):
+    """Old rows that stay, of days that are rewritten, survive a death at any step, and the rerun finishes."""
+    path, schema = str(tmp_path / "t"), "k string, v int, d date"
+    other = datetime.date(2024, 1, 2)
+    merge.replace_by_key(spark, path, spark.createDataFrame([("a", 1, DAY), ("b", 1, DAY), ("c", 1, other)], schema), "k", "d")
+    incoming = spark.createDataFrame([("b", 2, DAY), ("c", 2, DAY)], schema)
+    real_write, real_remove = merge.write_days, merge.remove_folder
+
+    def write(rows, target, day, whole=False):
+        if dies_at == "publishing" and target == path:
+            real_remove(spark, f"{path}/d={DAY}")  # the folder is gone, its successor is not there yet
+            raise RuntimeError("died")
+        real_write(rows, target, day, whole)
+        if dies_at == "storing" and target != path:
+            raise RuntimeError("died")
+
+    def remove(session, folder):
+        if dies_at == "cleaning" and "__merge" not in folder:
+            raise RuntimeError("died")
+        real_remove(session, folder)
+
+    monkeypatch.setattr(merge, "write_days", write)
+    monkeypatch.setattr(merge, "remove_folder", remove)
+    with pytest.raises(RuntimeError):
+        merge.replace_by_key(spark, path, incoming, "k", "d")
+    monkeypatch.undo()
+    assert merge.recover(spark, path, "d") is (dies_at != "storing")
+    if dies_at == "storing":
+        merge.replace_by_key(spark, path, incoming, "k", "d")
+    spark.catalog.refreshByPath(path)
+    assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(path).collect()) == [("a", 1, DAY), ("b", 2, DAY), ("c", 2, DAY)]
+    assert merge.recover(spark, path, "d") is False
+
+
+def test_insert_new_takes_the_latest_version(spark):
+    existing = spark.createDataFrame([("a", 1, 1)], "_id string, at int, v int")
+    incoming = spark.createDataFrame([("a", 9, 9), ("b", 1, 7), ("b", 2, 3), ("b", 2, 2)], "_id string, at int, v int")
+    assert [tuple(r) for r in merge.insert_new(existing, incoming, by=("at",)).collect()] == [("b", 2, 3)]

@@ -122,17 +122,3 @@ def test_seed_from_csv(spark, tmp_path):
         ("Read", "file_operations", "Read things")
     ]
     assert tool_categories(spark).count() == 15
-
-
-def test_old_deliveries_are_dropped(spark, tmp_path):
-    now = datetime.datetime(2024, 3, 10, tzinfo=datetime.timezone.utc)
-    path = str(tmp_path / "landing")
-    one = spark.createDataFrame([("a", now)], "_id string, at timestamp")
-    for batch, age in enumerate([9, 8, 1]):
-        at = F.col("at") - F.expr(f"INTERVAL {age} DAYS")
-        empty = [F.lit(None).cast("string").alias(c) for c in ("type", "sessionId", "projectId", "timestamp")]
-        rest = [F.lit(None).cast("string").alias(c) for c in ("sourceFile", "entry")]
-        documents.write_landing(one.select("_id", *empty, at.alias("ingestedAt"), *rest), path, batch)
-    synced = now - datetime.timedelta(days=8, hours=12)
-    assert documents.drop_old_deliveries(spark, path, synced, now) == [0]
-    assert documents.read_landing(spark, path).count() == 2

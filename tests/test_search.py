@@ -67,3 +67,31 @@ def test_export_writes_json(spark, sf_dir, tmp_path):
     docs = documents_from_events(spark, sf_dir)
     search.export_json(docs, LogFilter("p3"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == search.export_rows(docs, LogFilter("p3")).count()
+
+
+def test_search_reads_texts_of_landing_documents(spark):
+    """Strings, string contents and blocks are searched; JSON keys, roles and escapes are not."""
+    import json
+
+    from tracemill.schemas import DOCUMENT
+
+    bodies = {
+        "plain": "first\nfix it",
+        "object": {"role": "user", "content": "second\nfix it"},
+        "blocks": {"role": "assistant", "content": [{"type": "text", "text": "third"}, {"type": "text", "text": "fix it"}, {"type": "tool_use", "name": "Bash"}]},
+        "none": None,
+    }
+    rows = [(i, "user", "s", "p", "2024-01-01", None, "f", json.dumps({"message": m})) for i, m in bodies.items()]
+    docs = spark.createDataFrame([*rows, ("broken", "user", "s", "p", "2024-01-01", None, "f", "{")], DOCUMENT)
+    found = lambda query: sorted(r["_id"] for r in search.matching(docs, LogFilter("p", search=query)).collect())
+    assert found("fix") == ["blocks", "object", "plain"]
+    assert found("nfix") == found("content") == found("role") == found("text") == []
+    assert found("third") == ["blocks"] and found('"second"') == ["object"]
+
+
+def test_export_limit_is_a_parameter(spark, sf_dir, tmp_path):
+    docs = documents_from_events(spark, sf_dir)
+    total = search.export_rows(docs, LogFilter("p3")).count()
+    assert search.export_json(docs, LogFilter("p3"), str(tmp_path / "a"), limit=5) is True
+    assert spark.read.json(str(tmp_path / "a")).count() == 5
+    assert search.export_json(docs, LogFilter("p3"), str(tmp_path / "b"), limit=total) is False

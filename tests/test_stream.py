@@ -74,17 +74,75 @@ def test_a_batch_that_runs_again_is_stored_once(spark, logs):
     assert documents.read_landing(spark, logs.landing).count() == 2
 
 
-def test_settled_files_leave_the_offset_but_are_read(tmp_path):
-    old, new = tmp_path / "old.jsonl", tmp_path / "new.jsonl"
+def stream(tmp_path, **limits):
+    options = {"split_bytes": 1 << 20, "settle_days": 1, "max_files": 100, "max_bytes": 1 << 30} | limits
+    return SessionLogStream(str(tmp_path / "logs"), str(tmp_path / "positions"), **options)
+
+
+def lines_of(reader, start, end):
+    return sorted(t for p in reader.partitions({"version": start}, {"version": end}) for _, t in read_lines(p, reader.root))
+
+
+def test_old_files_that_turn_up_late_are_read(tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    old, new, late = logs / "old.jsonl", logs / "new.jsonl", logs / "late.jsonl"
     old.write_bytes(b"a\nunfinished")
     new.write_bytes(b"b\nhalf")
     os.utime(old, (1_000_000, 1_000_000))
-    stream = SessionLogStream(str(tmp_path), 1 << 20, settle_days=1)
-    end = stream.latestOffset()
-    assert json.loads(end["files"]) == {str(new): 2}
-    parts = stream.partitions(stream.initialOffset(), end)
-    assert sorted(t for p in parts for _, t in read_lines(p, str(tmp_path))) == [b"a", b"b", b"unfinished"]
-    assert stream.partitions(end, SessionLogStream(str(tmp_path), 1 << 20, 1).latestOffset()) == []
+    reader = stream(tmp_path)
+    assert reader.latestOffset() == {"version": 1} == reader.latestOffset()
+    assert lines_of(reader, 0, 1) == [b"a", b"b", b"unfinished"]
+    late.write_bytes(b"c\n")
+    os.utime(late, (500_000, 500_000))
+    assert stream(tmp_path).latestOffset() == {"version": 2}
+    assert lines_of(reader, 1, 2) == [b"c"]
+    with open(old, "ab") as f:
+        f.write(b" line\nd\n")
+    # The earlier reader first offers what was stored since, then what is new.
+    assert [reader.latestOffset()["version"] for _ in range(3)] == [2, 3, 3]
+    assert lines_of(reader, 2, 3) == [b"d", b"unfinished line"]
+
+
+def test_truncated_files_start_again(tmp_path):
+    (tmp_path / "logs").mkdir()
+    file = tmp_path / "logs" / "x.jsonl"
+    file.write_bytes(b"one\ntwo\n")
+    reader = stream(tmp_path)
+    assert lines_of(reader, 0, reader.latestOffset()["version"]) == [b"one", b"two"]
+    file.write_bytes(b"new\n")
+    assert lines_of(reader, 1, reader.latestOffset()["version"]) == [b"new"]
+
+
+def test_batches_are_limited_and_survive_restarts(tmp_path):
+    (tmp_path / "logs").mkdir()
+    for i in range(25):
+        (tmp_path / "logs" / f"{i:02}.jsonl").write_bytes(b"%02d\n" % i)
+    seen, version = [], 0
+    for limits in ({"max_files": 4}, {"max_bytes": 7}, {"max_bytes": 1}) * 9:
+        reader = stream(tmp_path, **limits)
+        reached = reader.latestOffset()["version"]
+        got = lines_of(reader, version, reached)
+        assert len(got) <= {"max_files": 4, "max_bytes": 2}[next(iter(limits))]
+        seen, version = seen + got, reached
+    assert seen == sorted(seen) == [b"%02d" % i for i in range(25)]
+
+
+def test_a_version_that_spark_did_not_log_is_offered_again(tmp_path):
+    (tmp_path / "logs").mkdir()
+    file = tmp_path / "logs" / "x.jsonl"
+    file.write_bytes(b"one\n")
+    assert stream(tmp_path).latestOffset() == {"version": 1}
+    file.write_bytes(b"one\ntwo\n")
+    restarted = stream(tmp_path)
+    assert lines_of(restarted, 0, restarted.latestOffset()["version"]) == [b"one", b"two"]
+
+
+def test_the_tail_reads_all_in_limited_batches(logs):
+    for i in range(7):
+        logs.add(line(i) + "\n", f"{logs.root}/projects/alpha/{i}.jsonl")
+    got = logs.tail(maxFilesPerBatch="3")
+    assert got.count() == 7 and got.select("batch").distinct().count() == 3
 
 
 def test_every_split_size_reads_every_line_once(tmp_path):

@@ -1,8 +1,9 @@
 """Keyed merges into day-partitioned Parquet tables.
 
-Only the days touched by a merge are read and rewritten. Spark writes the new files to a
-staging folder and swaps the day folders in at commit, so the merge may read the table it
-replaces; if the job dies, running it again gives the same table.
+Only the days touched by a merge are read and rewritten. Their new content is stored beside the
+table first and declared complete by a marker; then the day folders are replaced from it. A merge that
+dies before the marker has changed nothing; one that dies later is finished by the next merge, or by
+`recover`, from the stored days. So no row depends on a folder that is being replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ def latest_per_id(rows: DataFrame, key: str = "_id", by: tuple[str, ...] = ("ext
     )
 
 
-def insert_new(existing: DataFrame, incoming: DataFrame, key: str = "_id") -> DataFrame:
-    """Rows whose key the table does not have yet; one row per key."""
-    return incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+def insert_new(existing: DataFrame, incoming: DataFrame, key: str = "_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose key the table does not have yet; of several versions the latest by the columns given,
+    then by the others."""
+    return latest_per_id(incoming.join(existing.select(key), key, "left_anti"), key, by)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -59,12 +61,35 @@ def write_days(rows: DataFrame, path: str, day: str, whole: bool = False) -> Non
     spread.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(day).parquet(path)
 
 
+def _pending(path: str) -> tuple[str, str]:
+    """Folder of a merge's stored days, and the marker that says they are complete."""
+    return f"{path.rstrip('/')}__merge/days", f"{path.rstrip('/')}__merge/complete"
+
+
+def recover(spark: SparkSession, path: str, day: str) -> bool:
+    """Finish a merge that died after its days were stored; tells whether there was one."""
+    stored, marker = _pending(path)
+    if not table_exists(spark, marker):
+        return False
+    emptied = [r["day"] for r in spark.read.schema("day string").json(marker).collect() if r["day"] is not None]
+    if table_exists(spark, f"{stored}/{day}=*"):
+        write_days(spark.read.parquet(stored), path, day)
+    for gone in sorted(emptied):
+        remove_folder(spark, f"{path}/{day}={gone}")
+    # The marker goes first: days without it are leftovers that the next merge overwrites.
+    remove_folder(spark, marker)
+    remove_folder(spark, stored)
+    spark.catalog.refreshByPath(path)
+    return True
+
+
 def replace_by_key(spark: SparkSession, path: str, incoming: DataFrame, key: str, day: str) -> dict:
     """Delete the rows whose key occurs in `incoming`, then add all incoming rows.
 
     `incoming` should be a stored table: it is read several times. An old row is removed
     from its own day even when the incoming row lies on another one.
     """
+    recover(spark, path, day)
     if not table_exists(spark, path):
         write_days(incoming, path, day)
         return {"touched_days": len(_days(incoming, day))}
@@ -77,11 +102,13 @@ def replace_by_key(spark: SparkSession, path: str, incoming: DataFrame, key: str
         raise ValueError(f"{day} must be set in every row")
     touched = existing.where(F.col(day).isin(list(old_days | new_days)))
     kept = touched.join(keys, key, "left_anti")
-    emptied = old_days - new_days - (_days(kept, day) if old_days - new_days else set())
-    write_days(kept.select(*incoming.columns).unionByName(incoming), path, day)
-    for gone in sorted(emptied):
-        remove_folder(spark, f"{path}/{day}={gone}")
-    spark.catalog.refreshByPath(path)
+    stored, marker = _pending(path)
+    write_days(kept.select(*incoming.columns).unionByName(incoming), stored, day, whole=True)
+    filled = _days(spark.read.schema(incoming.schema).parquet(stored), day)
+    emptied = old_days - filled
+    rows = [(str(d),) for d in sorted(emptied)] or [(None,)]
+    spark.createDataFrame(rows, "day string").coalesce(1).write.mode("overwrite").json(marker)
+    recover(spark, path, day)
     return {"touched_days": len(old_days | new_days), "emptied_days": len(emptied)}
 
 
@@ -91,10 +118,14 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, staging: str, ke
     The resolved rows are stored under `staging` first. That cuts their lineage in a way
     that survives the loss of executors.
     """
+    recover(spark, path, day)
     versions = incoming
     if table_exists(spark, path):
         existing = spark.read.schema(incoming.schema).parquet(path)
-        same = existing.join(incoming.select(key).distinct(), key, "left_semi")
+        keys = incoming.select(key).distinct()
+        # Two narrow columns tell the days; only those days are read with all columns.
+        days = _days(existing.select(key, day).join(keys, key, "left_semi"), day)
+        same = existing.where(F.col(day).isin(list(days))).join(keys, key, "left_semi")
         versions = incoming.unionByName(same.select(*incoming.columns))
     latest_per_id(versions, key).write.mode("overwrite").parquet(staging)
     return replace_by_key(spark, path, spark.read.parquet(staging), key, day)

@@ -92,7 +92,7 @@ def order_within(
 def _plain(rows, group, sequence, shifts, order):
     columns = {}
     if sequence:
-        columns[sequence] = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+        columns[sequence] = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint")
     for name, s in shifts.items():
         keys = [group] if s.within is None else [group, s.within]
         columns[name] = F.lead(s.column, s.by).over(Window.partitionBy(*keys).orderBy(*order))
@@ -114,8 +114,8 @@ def _with_slices(rows, group, ts, doc, limit):
         }
     )
     keys = ["_group", "_hour"]
-    # At most total / limit rows, so the size of this broadcast is bounded by the limit.
-    hot = F.broadcast(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
+    # Short lists as a rule (total / limit rows at most); their size decides how they are joined.
+    hot = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
     sampled = rows.where(F.col("_pick") < max(1, (SAMPLES_PER_SLICE << TIE_BITS) // limit))
     cuts = (
         sampled.join(hot, keys, "left_semi")
@@ -123,9 +123,8 @@ def _with_slices(rows, group, ts, doc, limit):
         .agg(F.array_sort(F.collect_list("_place")).alias("_sample"))
         .select(*keys, F.expr(f"array_distinct(filter(_sample, (x, i) -> i % {SAMPLES_PER_SLICE} = 0))").alias("_cuts"))
     )
-    # About two numbers per `limit` rows of hot data: bounded like `hot`.
     return (
-        rows.join(F.broadcast(cuts), keys, "left")
+        rows.join(cuts, keys, "left")
         .withColumn("_sub", F.coalesce(F.expr("size(filter(_cuts, c -> c <= _place))"), F.lit(0)))
         .drop("_cuts", "_place", "_pick")
     )
@@ -184,7 +183,7 @@ def _sliced(rows, group, sequence, shifts, ts, doc, block, limit):
         edges = edges.select(*slice_keys, *[c.alias(n) for n, c in carried.items()])
         out = out.join(edges, slice_keys).drop("_scope")
         if scope is None and sequence:
-            results[sequence] = (F.col(f"{tag}_before") + F.col(f"{tag}_n")).cast("int")
+            results[sequence] = (F.col(f"{tag}_before") + F.col(f"{tag}_n")).cast("bigint")
         for n, s in members.items():
             crosses = F.col(f"{tag}_n") == 1 if s.by < 0 else F.col(f"{tag}_more").isNull()
             edge = F.col(f"{tag}_{'prev' if s.by < 0 else 'next'}")[s.column]

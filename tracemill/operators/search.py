@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import expressions as x
+from tracemill.sources.documents import with_message_text
 
-EXPORT_LIMIT = 10_000
 MAX_PAGE = 100
 MAX_PERIODS = 90
 # A word ends where no letter, digit or underscore follows.
@@ -66,6 +66,8 @@ def _base(docs: DataFrame, f: LogFilter) -> DataFrame:
     if f.session:
         docs = docs.where(F.col("sessionId") == f.session)
     if f.search:
+        if "message" not in docs.columns:
+            docs = with_message_text(docs)
         docs = docs.where(keyword_match(F.col("message"), f.search))
     return docs
 
@@ -131,19 +133,22 @@ def page(
     )
 
 
-def export_rows(docs: DataFrame, f: LogFilter) -> DataFrame:
-    """Newest delivered documents, at most the export limit. The dates bound the delivery
-    time, the end taken as given."""
+def export_rows(docs: DataFrame, f: LogFilter, limit: int | None = None) -> DataFrame:
+    """Matching documents, newest delivered first; all of them, or at most `limit`. The dates bound
+    the delivery time, the end taken as given."""
     found = _base(docs, f)
     if f.start:
         found = found.where(F.col("ingestedAt") >= F.lit(f.start).cast("timestamp"))
     if f.end:
         found = found.where(F.col("ingestedAt") <= F.lit(f.end).cast("timestamp"))
-    return found.orderBy(F.desc("ingestedAt"), F.desc("_id")).limit(EXPORT_LIMIT)
+    found = found.orderBy(F.desc("ingestedAt"), F.desc("_id"))
+    return found if limit is None else found.limit(limit)
 
 
-def export_json(docs: DataFrame, f: LogFilter, path: str) -> None:
-    export_rows(docs, f).write.mode("overwrite").json(path)
+def export_json(docs: DataFrame, f: LogFilter, path: str, limit: int | None = None) -> bool:
+    """Write the export; tells whether more documents match than the limit lets through."""
+    export_rows(docs, f, limit).write.mode("overwrite").json(path)
+    return limit is not None and export_rows(docs, f, limit + 1).count() > limit
 
 
 def message_activity(docs: DataFrame, f: LogFilter, granularity: str = "day", periods: int = 14) -> DataFrame:

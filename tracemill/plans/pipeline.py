@@ -60,17 +60,20 @@ def extract(spark: SparkSession, job: Job) -> dict:
 
 
 def load(spark: SparkSession, job: Job) -> dict:
-    """Bring bronze up to date with the newest append, or rebuild it from all appends."""
+    """Bring bronze up to date with the newest append, or rebuild it from all appends.
+
+    The newest version is looked up once: an append that comes meanwhile belongs to the next load.
+    """
+    version = tables.current_version(spark, job.flattened)
     if job.full_refresh or not merge.table_exists(spark, job.bronze):
-        everything = merge.latest_per_id(tables.snapshot(spark, job.flattened))
+        everything = merge.latest_per_id(tables.snapshot(spark, job.flattened, version))
         merge.write_days(everything, job.bronze, "date", whole=True)
         spark.catalog.refreshByPath(job.bronze)
         stats = {"rebuilt": True}
     else:
         loaded = _loaded_version(spark, job)
-        fresh = tables.snapshot_since(spark, job.flattened, loaded)
+        fresh = tables.snapshot_since(spark, job.flattened, loaded, version)
         stats = merge.upsert(spark, job.bronze, fresh, job.staging("bronze"))
-    version = tables.current_version(spark, job.flattened)
     _remember_version(spark, job, version)
     return {**stats, "version": version, "rows": read_bronze(spark, job).count()}
 

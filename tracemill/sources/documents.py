@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions import rules
-from tracemill.operators.merge import remove_folder, table_exists
+from tracemill.operators.merge import table_exists
 from tracemill.schemas import DOCUMENT
 from tracemill.sources.session_log import SessionLogSource
 
@@ -17,14 +17,22 @@ RETENTION_DAYS = 7
 ENTRY = "_id string, type string, sessionId string, timestamp string"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, on the file system that Spark resolves it to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def read_log(spark: SparkSession, path: str, **options: str) -> DataFrame:
     spark.dataSource.register(SessionLogSource)
-    return spark.read.format("session_log").options(**options).load(path)
+    return spark.read.format("session_log").options(**options).load(qualified(spark, path))
 
 
-def stream_log(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def stream_log(spark: SparkSession, path: str, positions: str, **options: str) -> DataFrame:
+    """Lines as they come. `positions` is a folder of the stream's own, kept as long as its checkpoint."""
     spark.dataSource.register(SessionLogSource)
-    return spark.readStream.format("session_log").options(**options).load(path)
+    options = options | {"positions": qualified(spark, positions)}
+    return spark.readStream.format("session_log").options(**options).load(qualified(spark, path))
 
 
 def project_id(path: Column) -> Column:
@@ -86,35 +94,25 @@ def since(docs: DataFrame, mark: datetime.datetime | None) -> DataFrame:
 
 
 def with_message_text(docs: DataFrame) -> DataFrame:
-    """Add the message as text for the search: the string, or the JSON of an object."""
-    return docs.withColumn("message", F.get_json_object("entry", "$.message"))
+    """Add the message as text for the search: the string, an object's string content, or the texts
+    of its blocks, one a line. Keys, roles and escapes are not text."""
+    entry = F.try_parse_json("entry")
+    is_object = F.try_variant_get(entry, "$.message", "map<string,variant>").isNotNull()
+    blocks = F.try_variant_get(entry, "$.message.content", "array<variant>")
+    texts = F.transform(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.try_variant_get(b, "$.thinking", "string"), F.try_variant_get(b, "$.content", "string")))
+    content = F.when(blocks.isNotNull(), F.array_join(texts, "\n")).otherwise(F.try_variant_get(entry, "$.message.content", "string"))
+    return docs.withColumn("message", F.when(is_object, content).otherwise(F.try_variant_get(entry, "$.message", "string")))
 
 
 def retained(docs: DataFrame, synced_until: datetime.datetime | None, now: datetime.datetime, days: int = RETENTION_DAYS) -> DataFrame:
-    """Without documents that were extracted and are older than the limit."""
+    """What a send buffer still holds: without documents that were extracted and are older than the
+    limit. The landing table itself keeps every document; searches and backfills read it."""
     if synced_until is None:
         return docs
     old = F.lit(now - datetime.timedelta(days=days))
     return docs.where(~((F.col("ingestedAt") <= F.lit(synced_until)) & (F.col("ingestedAt") < old)))
 
 
-def drop_old_deliveries(
-    spark: SparkSession, path: str, synced_until: datetime.datetime, now: datetime.datetime, days: int = RETENTION_DAYS
-) -> list[int]:
-    """Delete the folders of deliveries that were extracted and are older than the limit.
-
-    All documents of a delivery carry one delivery time, so whole folders go and nothing is
-    rewritten. The list of deliveries is short: one entry per micro-batch kept.
-    """
-    per_batch = read_landing(spark, path).groupBy("batch").agg(F.max("ingestedAt").alias("at"))
-    old = F.lit(now - datetime.timedelta(days=days))
-    gone = per_batch.where((F.col("at") <= F.lit(synced_until)) & (F.col("at") < old)).select("batch").collect()
-    batches = sorted(r["batch"] for r in gone)
-    for batch in batches:
-        remove_folder(spark, f"{path}/batch={batch}")
-    return batches
-
-
 def ingest_status(docs: DataFrame, synced_until: datetime.datetime | None) -> DataFrame:
     """Pending and synced documents and the last synced delivery."""
     done = F.lit(False) if synced_until is None else F.col("ingestedAt") <= F.lit(synced_until)

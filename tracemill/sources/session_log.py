@@ -1,9 +1,13 @@
 """Append-only JSONL session logs as a Spark data source, batch and streaming.
 
 Spark's own file stream reads a file once and never looks at what is appended later, so
-the tail is a small custom source: an offset is the byte position reached in each file,
-a micro-batch is a set of byte ranges, and each range is read by its own task. Large
-ranges are cut at `splitBytes`; a task reads the lines that begin inside its range.
+the tail is a small custom source: a micro-batch is a set of byte ranges, and each range is read by its
+own task. Large ranges are cut at `splitBytes`; a task reads the lines that begin inside its range.
+
+The offset of the stream is a version number. The ranges of each version are a file in the folder
+`positions`, written before the version is announced; together they say how far each file has been read.
+A file is new if no version names it, whatever its modification time. A batch takes at most
+`maxFilesPerBatch` files and `maxBytesPerBatch` bytes (one file at least); the rest is for later batches.
 
 Rows: source_file, byte_offset, line. (source_file, byte_offset) identifies a line for
 good, so replays produce the same ids.
@@ -16,6 +20,7 @@ the next batch. A batch read returns an unfinished last line as well.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -29,6 +34,8 @@ CHUNK = 1 << 20
 ROWS_PER_BATCH = 10_000
 DEFAULT_SPLIT = 64 << 20
 DEFAULT_SETTLE_DAYS = 30
+DEFAULT_MAX_FILES = 10_000
+DEFAULT_MAX_BYTES = 64 << 30
 
 
 class ByteRange(InputPartition):
@@ -41,6 +48,9 @@ class ByteRange(InputPartition):
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
+        scheme, rest = path.split(":", 1)
+        # Spark's scheme for the same store; the library takes file URIs with an authority only.
+        path = {"s3a": f"s3:{rest}", "s3n": f"s3:{rest}", "file": f"file://{rest if rest.startswith('/') and not rest.startswith('//') else rest.removeprefix('//')}"}.get(scheme, path)
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 
@@ -139,50 +149,109 @@ class SessionLogReader(DataSourceReader):
         return read_batches(partition, self.root)
 
 
+class Positions:
+    """How far each file has been read: the folded ranges of all versions, in one file each."""
+
+    def __init__(self, folder: str):
+        self.filesystem, self.folder = _filesystem(folder)
+        self.version, self.reached, self.open_line = 0, {}, {}
+
+    def _path(self, version: int) -> str:
+        return f"{self.folder}/{version:010}.json"
+
+    def ranges(self, version: int) -> list[dict]:
+        with self.filesystem.open_input_file(self._path(version)) as f:
+            return json.loads(f.read())
+
+    def refresh(self) -> None:
+        """Take in the versions that others, or an earlier run, have written."""
+        found = self.filesystem.get_file_info(pafs.FileSelector(self.folder, allow_not_found=True))
+        newest = max((int(f.base_name[:-5]) for f in found if f.base_name.endswith(".json")), default=0)
+        while self.version < newest:
+            self._take(self.version + 1, self.ranges(self.version + 1))
+
+    def _take(self, version: int, ranges: list[dict]) -> None:
+        self.version = version
+        for r in ranges:
+            self.reached[r["path"]], self.open_line[r["path"]] = r["end"], r["open_line"]
+
+    def add(self, ranges: list[dict]) -> None:
+        """Store one more version; under another name first, so that half a file is never read."""
+        self.filesystem.create_dir(self.folder, recursive=True)
+        draft = f"{self.folder}/draft-{uuid.uuid4().hex}"
+        with self.filesystem.open_output_stream(draft) as f:
+            f.write(json.dumps(ranges).encode())
+        self.filesystem.move(draft, self._path(self.version + 1))
+        self._take(self.version + 1, ranges)
+
+
 class SessionLogStream(DataSourceStreamReader):
-    """The offset is {"files": {path: position}, "settled": time}.
+    """The offset is {"version": n}.
 
-    `files` holds only files modified after `settled`, which trails the newest file by
-    `settleDays`; older ones are taken as read to their end, so the offset does not grow
-    with the number of files ever seen. A file that settles is read up to its end, with an
-    unfinished last line. Should a settled file grow after all, it is read again from its
-    beginning, and the stable line ids let the merge drop the repeated lines.
+    A file that has not changed for `settleDays` before the newest one is read up to its end, with an
+    unfinished last line. Should it grow after all, that line is read again, whole. A file that has become
+    shorter is another file by the same name and is read from its beginning.
 
-    An offset depends on the files alone, not on memory of earlier calls: a restarted query
-    compares it with the checkpointed one.
+    A version that was stored but not yet logged by Spark when a query died is what the restarted query is
+    offered first, so no range is lost or read into two versions.
     """
 
-    def __init__(self, root: str, split_bytes: int, settle_days: float):
+    def __init__(self, root: str, positions: str, split_bytes: int, settle_days: float, max_files: int, max_bytes: int):
         self.root, self.split_bytes, self.settle_seconds = root, split_bytes, settle_days * 86_400
-        self.ends: dict[str, tuple[int, int]] = {}  # path -> (size, position after the last line break)
+        self.max_files, self.max_bytes = max_files, max_bytes
+        self.positions = Positions(positions)
+        self.seen: dict[str, tuple[int, bool]] = {}  # path -> (size, settled) when it was last looked into
 
     def initialOffset(self) -> dict:
-        return {"files": "{}", "settled": 0.0}
+        return {"version": 0}
 
     def latestOffset(self) -> dict:
+        before = self.positions.version
+        self.positions.refresh()
+        if self.positions.version > before > 0:
+            return {"version": self.positions.version}
+        ranges = self._next()
+        if ranges:
+            self.positions.add(ranges)
+        return {"version": self.positions.version}
+
+    def _next(self) -> list[dict]:
         filesystem, _ = _filesystem(self.root)
         logs = list_logs(self.root)
-        settled = max(0.0, max((mtime for _, mtime in logs.values()), default=0.0) - self.settle_seconds)
-        active = {p: size for p, (size, mtime) in logs.items() if mtime > settled}
-        changed = [p for p, size in active.items() if self.ends.get(p, (-1, 0))[0] != size]
-        with ThreadPoolExecutor(16) as pool:
-            ends = pool.map(lambda p: complete_end(filesystem, p, 0, active[p]), changed)
-            found = {p: (active[p], e) for p, e in zip(changed, ends)}
-        self.ends = {p: found.get(p) or self.ends[p] for p in active}
-        files = {p: e for p, (_, e) in self.ends.items() if e}
-        return {"files": json.dumps(files, sort_keys=True), "settled": settled}
+        quiet = max((mtime for _, mtime in logs.values()), default=0.0) - self.settle_seconds
+        reached, state = self.positions.reached, {p: (size, mtime <= quiet) for p, (size, mtime) in logs.items()}
+        waiting = sorted(p for p, s in state.items() if s[0] != reached.get(p, 0) and self.seen.get(p) != s)
+        ranges, total = [], 0
+        for at in range(0, len(waiting), 256):
+            part = waiting[at : at + 256]
+            with ThreadPoolExecutor(16) as pool:
+                found = list(pool.map(lambda p: self._range(filesystem, p, *state[p]), part))
+            for path, r in zip(part, found):
+                size = r["end"] - r["start"] if r else 0
+                if r and ranges and (len(ranges) >= self.max_files or total + size > self.max_bytes):
+                    return ranges
+                self.seen[path] = state[path]
+                if r:
+                    ranges.append(r)
+                    total += size
+        return ranges
+
+    def _range(self, filesystem: pafs.FileSystem, path: str, size: int, settled: bool) -> dict | None:
+        start = self.positions.reached.get(path, 0)
+        if size < start:
+            start = 0
+        elif start:
+            start = self.positions.open_line.get(path, start)
+        line_end = complete_end(filesystem, path, start, size)
+        end = size if settled else line_end
+        return {"path": path, "start": start, "end": end, "open_line": line_end} if end > start else None
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        before, reached = json.loads(start["files"]), json.loads(end["files"])
-        if end["settled"] > start["settled"]:
-            for path, (size, mtime) in list_logs(self.root).items():
-                if start["settled"] < mtime <= end["settled"]:
-                    reached.setdefault(path, size)
         return [
-            r
-            for path in sorted(reached)
-            if reached[path] > before.get(path, 0)
-            for r in split_range(path, before.get(path, 0), reached[path], self.split_bytes)
+            part
+            for version in range(start["version"] + 1, end["version"] + 1)
+            for r in self.positions.ranges(version)
+            for part in split_range(r["path"], r["start"], r["end"], self.split_bytes)
         ]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -207,5 +276,12 @@ class SessionLogSource(DataSource):
         return SessionLogReader(self.options["path"], self._split())
 
     def streamReader(self, schema) -> SessionLogStream:
-        settle = float(self.options.get("settleDays", DEFAULT_SETTLE_DAYS))
-        return SessionLogStream(self.options["path"], self._split(), settle)
+        number = lambda name, default: int(self.options.get(name, default))
+        return SessionLogStream(
+            self.options["path"],
+            self.options["positions"],
+            self._split(),
+            float(self.options.get("settleDays", DEFAULT_SETTLE_DAYS)),
+            number("maxFilesPerBatch", DEFAULT_MAX_FILES),
+            number("maxBytesPerBatch", DEFAULT_MAX_BYTES),
+        )

@@ -59,9 +59,9 @@ def snapshot(spark: SparkSession, path: str, as_of_version: int | None = None) -
     return spark.read.schema(LAYOUT).parquet(f"{path}/data").where(F.col("version") <= wanted).drop("version")
 
 
-def snapshot_since(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """Logged rows of later versions than the given one."""
-    fresh = F.col("version").between(version + 1, current_version(spark, path))
+def snapshot_since(spark: SparkSession, path: str, version: int, until: int) -> DataFrame:
+    """Logged rows of later versions than the given one, up to `until`."""
+    fresh = F.col("version").between(version + 1, until)
     return spark.read.schema(LAYOUT).parquet(f"{path}/data").where(fresh).drop("version")
 
 

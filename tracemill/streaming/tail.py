@@ -37,9 +37,12 @@ def start_tail(
     interval: str | None = "5 seconds",
     **options: str,
 ) -> StreamingQuery:
-    """Follow the logs. Without an interval: read what is there and stop."""
+    """Follow the logs. Without an interval: read one batch of what is there and stop.
+
+    The positions reached are stored beside the checkpoint; the two belong together.
+    """
     writer = (
-        documents.stream_log(spark, logs, **options)
+        documents.stream_log(spark, logs, f"{checkpoint.rstrip('/')}_positions", **options)
         .writeStream.foreachBatch(deliver(dead_letters, landing))
         .option("checkpointLocation", checkpoint)
     )
@@ -48,8 +51,12 @@ def start_tail(
 
 
 def tail_once(spark: SparkSession, logs: str, landing: str, checkpoint: str, dead_letters: str, **options: str) -> None:
-    query = start_tail(spark, logs, landing, checkpoint, dead_letters, interval=None, **options)
-    query.awaitTermination()
+    """Read all that is there, batch after batch."""
+    while True:
+        query = start_tail(spark, logs, landing, checkpoint, dead_letters, interval=None, **options)
+        query.awaitTermination()
+        if not sum(p.numInputRows for p in query.recentProgress):
+            break
 
 
 def stream_landing(spark: SparkSession, landing: str) -> DataFrame:
