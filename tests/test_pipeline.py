@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.plans import checks
 from tracemill.plans.catalog import MODELS, Lineage, Options, ancestors
-from tracemill.plans.pipeline import Job, read_bronze, run_pipeline, stored_models
+from tracemill.plans.pipeline import ChecksFailed, Job, read_bronze, run_pipeline, stored_models
 from tracemill.sources import documents, event_log, tables
 
 FACTS = ["fct_messages", "fct_tool_calls", "fct_file_operations"]
@@ -80,6 +80,19 @@ def test_checks_of_the_stored_models(spark, job):
     assert results.where("not success").count() == 0
 
 
+def test_the_job_checks_what_it_stored(spark, job):
+    only = replace(job, skip_extract=True, skip_load=True, skip_transform=True)
+    report = run_pipeline(spark, only)["checks"]
+    assert report["checks"] > 100
+    broken = read_bronze(spark, job).limit(1).withColumn("type", F.lit("odd"))
+    wrong = replace(only, root=job.root + "-wrong")
+    broken.write.partitionBy("date").parquet(wrong.bronze)
+    found = run_pipeline(spark, wrong)["checks"]["failed"]
+    assert {(f["suite"], f["check"], f["column"]) for f in found} >= {("bronze", "accepted_values", "type")}
+    with pytest.raises(ChecksFailed):
+        run_pipeline(spark, replace(wrong, fail_on_checks=True))
+
+
 def test_ancestors_come_first():
     order = ancestors("agg_daily_summary")
     for name in order:

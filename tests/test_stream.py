@@ -167,6 +167,6 @@ def test_windowed_views(spark, logs):
     for name, df, mode in [("once", tail.without_repeats(docs), "append"), ("hourly", tail.activity_stream(docs), "complete")]:
         query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         query.awaitTermination()
-        assert tail.progress(query)["rows"] == 4
+        assert tail.progress(query)["recent_rows"] == 4
     assert spark.table("once").count() == 4
     assert [(r["user"], r["assistant"]) for r in spark.table("hourly").collect()] == [(4, 0)]

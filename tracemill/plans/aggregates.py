@@ -146,10 +146,13 @@ def tool_hours(calls: DataFrame) -> DataFrame:
 
 
 def peak_hours(calls: DataFrame) -> DataFrame:
+    return _peaks(tool_hours(calls))
+
+
+def _peaks(hours: DataFrame) -> DataFrame:
     """Busiest hour per tool; the earliest one on a tie."""
     return (
-        tool_hours(calls)
-        .groupBy("tool_name")
+        hours.groupBy("tool_name")
         .agg(
             most_frequent("hour_of_day", "call_count").alias("peak_hour"),
             F.max("call_count").alias("peak_hour_calls"),
@@ -158,9 +161,10 @@ def peak_hours(calls: DataFrame) -> DataFrame:
 
 
 def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    cells = tool_cells(calls)
+    hours = cells.groupBy("tool_name", "hour_of_day").agg(F.sum("n").alias("call_count"))
     per_tool = (
-        tool_cells(calls)
-        .groupBy("tool_name", "tool_category")
+        cells.groupBy("tool_name", "tool_category")
         .agg(
             F.sum("n").alias("total_calls"),
             F.count_distinct("session_id").alias("sessions_used"),
@@ -183,7 +187,7 @@ def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
     # Every side holds a row per tool; sizes are left to run-time planning.
     return (
         per_tool.join(medians, ["tool_name", "tool_category"], "left")
-        .join(peak_hours(calls), "tool_name", "left")
+        .join(_peaks(hours), "tool_name", "left")
         .join(known, "tool_name", "left")
         .select(
             "tool_name",
@@ -256,13 +260,14 @@ def file_operation_sets(operations: DataFrame) -> DataFrame:
     )
 
 
-def agg_code_changes(operations: DataFrame) -> DataFrame:
+def agg_code_changes(operations: DataFrame, top_extensions: int = TOP_EXTENSIONS) -> DataFrame:
+    """Levels of file operations; of the extensions the most used ones, which is what the report shows."""
     sets = file_operation_sets(operations)
     by_extension = F.col("aggregation_level") == "by_extension"
     top = (
         sets.where(by_extension)
         .orderBy(F.desc("total_operations"), "aggregation_key")
-        .limit(TOP_EXTENSIONS)
+        .limit(top_extensions)
     )
     total = F.col("total_operations")
     mean = x.ratio(F.col("total_content_length"), total)
@@ -385,24 +390,42 @@ def agg_daily_summary(
 
 
 def hourly_messages(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("hour_of_day", "day_of_week").agg(
-        F.count(F.lit(1)).alias("message_count"),
+    """Counted per session and project first, so that the exact distinct counts expand those
+    combinations and not the messages."""
+    on = ["hour_of_day", "day_of_week"]
+    cells = messages.groupBy(*on, "session_id", "project_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("content_length").alias("length"),
+        F.count("content_length").alias("measured"),
+        x.count_where(F.col("role") == "user").alias("user"),
+        x.count_where(F.col("role") == "assistant").alias("assistant"),
+        x.count_where(F.col("has_code_block")).alias("code"),
+    )
+    return cells.groupBy(*on).agg(
+        F.sum("n").alias("message_count"),
         F.count_distinct("session_id").alias("unique_sessions"),
         F.count_distinct("project_id").alias("unique_projects"),
-        F.avg("content_length").alias("avg_content_length"),
-        x.count_where(F.col("role") == "user").alias("user_messages"),
-        x.count_where(F.col("role") == "assistant").alias("assistant_messages"),
-        x.count_where(F.col("has_code_block")).alias("messages_with_code"),
+        x.ratio(F.sum("length"), F.sum("measured")).alias("avg_content_length"),
+        F.sum("user").alias("user_messages"),
+        F.sum("assistant").alias("assistant_messages"),
+        F.sum("code").alias("messages_with_code"),
     )
 
 
 def hourly_tools(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("hour_of_day", "day_of_week").agg(
-        F.count(F.lit(1)).alias("tool_call_count"),
-        F.count_distinct("tool_name").alias("unique_tools"),
-        x.count_where(F.col("is_file_operation")).alias("file_operations"),
-        x.count_where(F.col("is_search_operation")).alias("search_operations"),
-        x.count_where(F.col("is_shell_command")).alias("shell_commands"),
+    on = ["hour_of_day", "day_of_week"]
+    cells = calls.groupBy(*on, "tool_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        x.count_where(F.col("is_file_operation")).alias("file"),
+        x.count_where(F.col("is_search_operation")).alias("search"),
+        x.count_where(F.col("is_shell_command")).alias("shell"),
+    )
+    return cells.groupBy(*on).agg(
+        F.sum("n").alias("tool_call_count"),
+        F.count("tool_name").alias("unique_tools"),
+        F.sum("file").alias("file_operations"),
+        F.sum("search").alias("search_operations"),
+        F.sum("shell").alias("shell_commands"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.expressions import null_safe_key
 from tracemill.operators import merge
 from tracemill.operators.flatten import flatten_documents
+from tracemill.plans import checks
 from tracemill.plans.catalog import LONG_TEXTS, MODELS, Lineage, Options, ancestors
 from tracemill.schemas import BRONZE
 from tracemill.sources import documents, tables
@@ -27,6 +28,8 @@ class Job:
     skip_extract: bool = False
     skip_load: bool = False
     skip_transform: bool = False
+    skip_checks: bool = False
+    fail_on_checks: bool = False  # raise if a declared check or a suite fails
     select: str | None = None  # a model, built with everything it reads
     python_json: bool = True
     options: Options = field(default_factory=Options)
@@ -147,12 +150,29 @@ def transform(spark: SparkSession, job: Job) -> dict:
     return done
 
 
+class ChecksFailed(Exception):
+    """Raised after a run whose checks failed; the tables are written."""
+
+
+def check(spark: SparkSession, job: Job) -> dict:
+    """Run the suites and the declared checks over the stored models, one model at a time."""
+    models = stored_models(spark, job)
+    names = [n for n in checks.DECLARED if n in models.stored or MODELS.get(n) and MODELS[n].kind == "view"]
+    parts = {"bronze_suite": checks.bronze_suite(models.bronze), "silver_suite": checks.silver_suite(models)}
+    results = [r for df in [*parts.values(), *(checks.model_checks(models, n) for n in names)] for r in df.collect()]
+    failed = [{k: r[k] for k in ("suite", "check", "column", "failed", "total")} for r in results if not r["success"]]
+    if failed and job.fail_on_checks:
+        raise ChecksFailed(failed)
+    return {"checks": len(results), "failed": failed}
+
+
 def run_pipeline(spark: SparkSession, job: Job) -> dict:
     """Run the steps that are not skipped and report on each."""
     steps = {
         "extraction": (job.skip_extract, extract),
         "load": (job.skip_load, load),
         "transform": (job.skip_transform, transform),
+        "checks": (job.skip_checks, check),
     }
     return {name: {"skipped": True} if skip else step(spark, job) for name, (skip, step) in steps.items()}
 

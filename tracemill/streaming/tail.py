@@ -88,11 +88,12 @@ def activity_stream(docs: DataFrame, period: str = "1 hour", lateness: str = "1
 
 
 def progress(query: StreamingQuery) -> dict:
-    """Counters of a stream: latest batch, rows over the remembered batches, time, state."""
+    """Counters of a stream: latest batch, its time, state, and rows over the batches that Spark still
+    remembers (a hundred); the landing table has the total."""
     last = query.lastProgress
     return {
         "batch": last.batchId if last else None,
-        "rows": sum(p.numInputRows for p in query.recentProgress),
+        "recent_rows": sum(p.numInputRows for p in query.recentProgress),
         "at": last.timestamp if last else None,
         "active": query.isActive,
     }
