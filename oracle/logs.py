@@ -82,6 +82,20 @@ def sql(select: str) -> str:
     return with_blocks(select, ALL)
 
 
+def landing_search(where: str) -> str:
+    """Conversation documents of one project by their text; the shapes are those of the test documents."""
+    return f"""
+        WITH texts AS (
+            SELECT 'c' || conv_id || 't' || turn AS _id, 'conv' || conv_id AS "sessionId",
+                   CASE (conv_id + turn) % 8
+                       WHEN 2 THEN 'lead' || chr(10) || text || chr(10) || text
+                       WHEN 3 THEN text || chr(10) || text
+                       WHEN 4 THEN 'head' || chr(10) || text || chr(10) || text
+                       WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN CAST(turn AS VARCHAR) ELSE text END AS message
+            FROM conversations WHERE conv_id % 5 = 3)
+        SELECT * FROM texts WHERE {where}"""
+
+
 def page(where: str, limit: int, order: str) -> str:
     return sql(
         f"""SELECT * EXCLUDE (total, cursor_row), total > {limit} AS has_more,
@@ -231,6 +245,17 @@ LOG_ORACLE: dict[str, str] = {
     "session_list": sql(
         "SELECT DISTINCT \"sessionId\" FROM docs WHERE \"projectId\" = 'p3' AND length(\"sessionId\") > 0"
     ),
+    "search_landing": landing_search(
+        f"({has_word('message', 'lead')} OR {has_word('message', 'head')}) AND NOT {has_word('message', 'und')}"
+    ),
+    "search_landing_keys": landing_search(" OR ".join(has_word("message", w) for w in ("role", "content", "type", "text"))),
+    "log_documents": """SELECT md5(concat('/logs/projects/p/conv', conv_id, '.jsonl:', turn * 1000)) AS _id,
+            role AS type, CAST(NULL AS VARCHAR) AS "sessionId", 'p' AS "projectId", CAST(NULL AS VARCHAR) AS timestamp,
+            TIMESTAMP '2024-01-31' AS "ingestedAt", concat('/logs/projects/p/conv', conv_id, '.jsonl') AS "sourceFile"
+        FROM conversations WHERE turn % 5 <> 4 AND turn % 9 <> 7""",
+    "log_malformed": """SELECT concat('/logs/projects/p/conv', conv_id, '.jsonl') AS source_file,
+            CAST(turn * 1000 AS BIGINT) AS byte_offset
+        FROM conversations WHERE turn % 5 = 4 OR turn % 9 = 7""",
     "documents_per_project": sql("SELECT \"projectId\", count(*) AS count FROM docs GROUP BY 1"),
     "text_search": f"""SELECT doc_id, lang, length(text) AS length FROM documents
         WHERE ({has_word('text', 'test')} OR {has_word('text', 'the')}) AND NOT {has_word('text', 'und')}""",

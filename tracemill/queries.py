@@ -118,6 +118,13 @@ def over_documents(then: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: comparable(then(event_log.documents_from_events(spark, sf_dir)))
 
 
+def over_conversations(then: Callable[[DataFrame], DataFrame]) -> Query:
+    """Over documents as the landing table holds them: with the whole entry and no ready text."""
+    return lambda spark, sf_dir: comparable(
+        then(event_log.documents_from_conversations(spark, sf_dir)).select("_id", "sessionId", "message")
+    )
+
+
 def over_bronze(then: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: comparable(then(bronze_from_events(spark, sf_dir)))
 
@@ -161,6 +168,14 @@ LOG_QUERIES: dict[str, Query] = {
         .where(search.keyword_match(F.col("text"), "test the -und"))
         .select("doc_id", "lang", F.length("text").alias("length"))
     ),
+    "search_landing": over_conversations(lambda d: search.matching(d, LogFilter("p3", search="lead head -und"))),
+    "search_landing_keys": over_conversations(lambda d: search.matching(d, LogFilter("p3", search="role content type text"))),
+    "log_documents": lambda spark, sf_dir: comparable(
+        documents.to_documents(event_log.lines_from_conversations(spark, sf_dir), F.lit(NOW)).drop("entry")
+    ),
+    "log_malformed": lambda spark, sf_dir: comparable(
+        documents.malformed(event_log.lines_from_conversations(spark, sf_dir)).drop("line")
+    ),
     "documents_since": over_documents(lambda d: documents.since(d, MARK)),
     "documents_retained": over_documents(lambda d: documents.retained(d, MARK, NOW - datetime.timedelta(days=6))),
     "ingest_status": over_documents(lambda d: documents.ingest_status(d, MARK)),

@@ -93,15 +93,30 @@ def since(docs: DataFrame, mark: datetime.datetime | None) -> DataFrame:
     return docs if mark is None else docs.where(F.col("ingestedAt") >= F.lit(mark))
 
 
+def _string(value: Column, path: str) -> Column:
+    """A scalar as text; null for objects and lists, whose text would be JSON."""
+    nested = F.try_variant_get(value, path, "map<string,variant>").isNotNull() | F.try_variant_get(value, path, "array<variant>").isNotNull()
+    return F.when(~nested, F.try_variant_get(value, path, "string"))
+
+
+def _block_texts(blocks: Column, inner: bool = True) -> Column:
+    """The strings of a list and the texts of its blocks, one a line; results may hold a list of their own."""
+
+    def text(block: Column) -> Column:
+        found = [_string(block, "$"), _string(block, "$.text"), _string(block, "$.thinking"), _string(block, "$.content")]
+        if inner:
+            found.append(_block_texts(F.try_variant_get(block, "$.content", "array<variant>"), inner=False))
+        return F.coalesce(*found)
+
+    return F.array_join(F.transform(blocks, text), "\n")
+
+
 def with_message_text(docs: DataFrame) -> DataFrame:
-    """Add the message as text for the search: the string, an object's string content, or the texts
-    of its blocks, one a line. Keys, roles and escapes are not text."""
+    """Add the message as text for the search: the string, an object's plain content, or the texts
+    of its blocks. Keys, roles and escapes are not text."""
     entry = F.try_parse_json("entry")
-    is_object = F.try_variant_get(entry, "$.message", "map<string,variant>").isNotNull()
     blocks = F.try_variant_get(entry, "$.message.content", "array<variant>")
-    texts = F.transform(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.try_variant_get(b, "$.thinking", "string"), F.try_variant_get(b, "$.content", "string")))
-    content = F.when(blocks.isNotNull(), F.array_join(texts, "\n")).otherwise(F.try_variant_get(entry, "$.message.content", "string"))
-    return docs.withColumn("message", F.when(is_object, content).otherwise(F.try_variant_get(entry, "$.message", "string")))
+    return docs.withColumn("message", F.coalesce(_string(entry, "$.message"), _string(entry, "$.message.content"), _block_texts(blocks)))
 
 
 def retained(docs: DataFrame, synced_until: datetime.datetime | None, now: datetime.datetime, days: int = RETENTION_DAYS) -> DataFrame:
