@@ -68,10 +68,13 @@ def test_new_files_join_in(logs):
 def test_a_batch_that_runs_again_is_stored_once(spark, logs):
     logs.add(line(0) + "\n" + line(1) + "\n")
     lines = documents.read_log(spark, f"{logs.root}/projects")
-    write = tail.deliver(f"{logs.root}/dead", logs.landing)
+    write = tail.deliver(f"{logs.root}/dead", logs.landing, "a")
     write(lines, 4)
     write(lines, 4)
     assert documents.read_landing(spark, logs.landing).count() == 2
+    # Another stream, say with a fresh checkpoint, counts from the start without replacing anything.
+    tail.deliver(f"{logs.root}/dead", logs.landing, "b")(lines.limit(1), 4)
+    assert documents.read_landing(spark, logs.landing).count() == 3
 
 
 def stream(tmp_path, **limits):

@@ -74,17 +74,18 @@ def malformed(lines: DataFrame) -> DataFrame:
     return not_blank(lines).where(~is_entry(F.col("line")))
 
 
-def write_landing(docs: DataFrame, path: str, batch: int) -> None:
-    """Each delivery has its own folder; a repeated delivery replaces it, so nothing is
-    stored twice. Files are sorted by project, so a filter on it skips row groups."""
-    docs.sortWithinPartitions("projectId", "timestamp").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def write_landing(docs: DataFrame, path: str, batch: int, stream: str = "manual") -> None:
+    """Each delivery of a stream has its own folder; a repeated delivery replaces it, so nothing is
+    stored twice, and a new stream, which counts from 0 again, does not replace another's. Files are
+    sorted by project, so a filter on it skips row groups."""
+    docs.sortWithinPartitions("projectId", "timestamp").write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={batch}")
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     if not table_exists(spark, path):
-        return spark.createDataFrame([], DOCUMENT).withColumn("batch", F.lit(0))
-    batch = T.StructField("batch", T.IntegerType())
-    return spark.read.schema(T.StructType([*DOCUMENT.fields, batch])).parquet(path)
+        return spark.createDataFrame([], DOCUMENT).withColumns({"stream": F.lit(""), "batch": F.lit(0)})
+    folders = [T.StructField("stream", T.StringType()), T.StructField("batch", T.IntegerType())]
+    return spark.read.schema(T.StructType([*DOCUMENT.fields, *folders])).parquet(path)
 
 
 def since(docs: DataFrame, mark: datetime.datetime | None) -> DataFrame:

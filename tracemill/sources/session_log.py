@@ -156,6 +156,16 @@ class Positions:
         self.filesystem, self.folder = _filesystem(folder)
         self.version, self.reached, self.open_line = 0, {}, {}
 
+    def stream_id(self) -> str:
+        """A name for the stream that keeps these positions, made once."""
+        path = f"{self.folder}/stream_id"
+        if self.filesystem.get_file_info(path).type == pafs.FileType.NotFound:
+            self.filesystem.create_dir(self.folder, recursive=True)
+            with self.filesystem.open_output_stream(path) as f:
+                f.write(uuid.uuid4().hex.encode())
+        with self.filesystem.open_input_file(path) as f:
+            return f.read().decode()
+
     def _path(self, version: int) -> str:
         return f"{self.folder}/{version:010}.json"
 

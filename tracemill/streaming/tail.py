@@ -10,9 +10,10 @@ from tracemill.functions.expressions import parse_timestamp
 from tracemill.operators.quality import write_dead_letters
 from tracemill.schemas import DOCUMENT
 from tracemill.sources import documents
+from tracemill.sources.session_log import Positions
 
 
-def deliver(dead_letters: str, landing: str):
+def deliver(dead_letters: str, landing: str, stream: str):
     """Batch writer: documents to their batch folder, malformed lines to the dead letters.
 
     The checkpoint fixes which bytes a batch holds, and the batch number names the folder,
@@ -21,9 +22,9 @@ def deliver(dead_letters: str, landing: str):
 
     def write(lines: DataFrame, batch: int) -> None:
         now = F.current_timestamp()
-        documents.write_landing(documents.to_documents(lines, now), landing, batch)
+        documents.write_landing(documents.to_documents(lines, now), landing, batch, stream)
         bad = documents.malformed(lines)
-        write_dead_letters(bad, f"{dead_letters}/batch={batch}", F.to_date(now), "malformed line", "overwrite")
+        write_dead_letters(bad, f"{dead_letters}/stream={stream}/batch={batch}", F.to_date(now), "malformed line", "overwrite")
 
     return write
 
@@ -41,9 +42,10 @@ def start_tail(
 
     The positions reached are stored beside the checkpoint; the two belong together.
     """
+    positions = documents.qualified(spark, f"{checkpoint.rstrip('/')}_positions")
     writer = (
-        documents.stream_log(spark, logs, f"{checkpoint.rstrip('/')}_positions", **options)
-        .writeStream.foreachBatch(deliver(dead_letters, landing))
+        documents.stream_log(spark, logs, positions, **options)
+        .writeStream.foreachBatch(deliver(dead_letters, landing, Positions(positions).stream_id()))
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
