@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracemill.llm.common import blocks, byte_column, check_columns, find, ranges
+from tracemill.llm.common import blocks, byte_column, check_columns, find
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -21,6 +21,7 @@ SAMPLE_PER_CLASS = 1500
 #: Bytes of sampled texts the driver takes at most, both classes together; longer texts are left out first.
 SAMPLE_BYTES = 12_000_000
 BLOCK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 EPOCHS = 150
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\v\f\r" else c for c in range(256))
 
@@ -72,8 +73,8 @@ def fit(data: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, prior: float) -
 
 
 def _some(data: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(bounds)[which]
-    return data[ranges(bounds[:-1][which], size)], np.concatenate([[0], np.cumsum(size)])
+    parts = [data[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(which)]
+    return np.concatenate([*parts, data[:0]]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 def _calibrate(model: Model, margin: np.ndarray, toxic: np.ndarray, prior: float) -> None:
@@ -146,13 +147,15 @@ def _fit(data: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, prior: float)
 
 
 def _counts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text << BITS | bucket) and its times, over some texts at a time."""
-    step = 64
-    for at in range(0, len(bounds) - 1, step):
-        part = bounds[at : at + step + 1]
-        owner = np.repeat(np.arange(at, at + len(part) - 1, dtype=np.int64), np.diff(part))
+    """(text << BITS | bucket) and its times, over texts of about ``CHUNK_BYTES`` at a time."""
+    at = 0
+    while at < len(bounds) - 1:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
+        part = bounds[at : end + 1]
+        owner = np.repeat(np.arange(at, end, dtype=np.int64), np.diff(part))
         found = [owner[inside] << BITS | bucket[inside] for bucket, inside in grams(data[part[0] : part[-1]], part - part[0])]
         yield np.unique(np.concatenate(found), return_counts=True)
+        at = end
 
 
 def learnable() -> Column:
