@@ -22,8 +22,10 @@ _ROWS = 4096
 
 def fingerprint(text: bytes, words: int) -> int:
     """64-bit fingerprint of a text; shingles are counted with their repeats."""
-    tokens = text.translate(_LOWER).split()
-    hashes = _shingle_hashes(tokens, words)
+    return _majority(_shingle_hashes(text.translate(_LOWER).split(), words))
+
+
+def _majority(hashes: np.ndarray) -> int:
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _ROWS):
         part = hashes[at : at + _ROWS].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -114,7 +116,8 @@ def _sketch(text: bytes, words: int) -> tuple[bytes, int, int, list[dict]]:
     """Digest of the word sequence, number of distinct shingles, whole fingerprint, and part fingerprints."""
     tokens = text.translate(_LOWER).split()
     digest = xxhash.xxh3_128_digest(b" ".join(tokens))
-    hashes = np.unique(_shingle_hashes(tokens, words))
+    repeated = _shingle_hashes(tokens, words)
+    hashes = np.unique(repeated)
     if not len(hashes):
         return digest, 0, 0, []
     parts = []
@@ -131,7 +134,7 @@ def _sketch(text: bytes, words: int) -> tuple[bytes, int, int, list[dict]]:
         size = np.diff(np.append(head, len(order)))[:, None]
         prints = np.packbits(2 * votes > size, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
         parts += [{"level": level, "part": p, "print": f} for p, f in zip(part[order][head].tolist(), prints.tolist(), strict=True)]
-    return digest, len(hashes), fingerprint(text, words), parts
+    return digest, len(hashes), _majority(repeated), parts
 
 
 def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
