@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 from tracemill.llm.common import blocks, byte_column, check_columns, ranges
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-BLOCK_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+BLOCK_BYTES = 1 << 20
+CACHE_WORDS = 200_000
 LONG_WORD = 512
 _NEVER = np.iinfo(np.int64).max
 

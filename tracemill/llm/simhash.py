@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     check_columns(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 16 << 20):
+        for batch in blocks(batches, "text", 4 << 20):
             texts = batch.column(1).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
@@ -164,7 +164,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 16 << 20):
+        for batch in blocks(batches, "text", 4 << 20):
             rows = [_sketch((t.as_py() or "").encode(), words) for t in batch.column(1)]
             types = (pa.binary(), pa.int64(), None, pa.list_(_PART))
             columns = [pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)) if t is None else pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
@@ -190,7 +190,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     texts = docs.select("doc_id", "text").join(owners, "doc_id")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 16 << 20):
+        for batch in blocks(batches, "text", 4 << 20):
             found, keep = [], []
             for text, content in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 tokens = (text.as_py() or "").encode().translate(_LOWER).split()
