@@ -98,8 +98,9 @@ def character_classes(tokenizer: Tokenizer) -> np.ndarray:
     this Python does not know but a newer table calls letters or numbers.
     """
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
-    known = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    codes = np.arange(0x110000, dtype="<u4")
+    known = codes[(codes < 0xD800) | (codes >= 0xE000)].tobytes().decode("utf-32-le")
     for c in regex.findall(r"\s", known):
         out[ord(c)] = SPACE
     for c in regex.findall(r"[\p{L}\p{N}]", known):
