@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,7 @@ def character_classes(tokenizer: Tokenizer) -> np.ndarray:
     return out
 
 
+@lru_cache(2)
 def load(path: str) -> Model:
     """A model from a ``tokenizers`` JSON file with byte-level BPE, no normalizer and the usual word pattern."""
     with open(path, encoding="utf-8") as file:

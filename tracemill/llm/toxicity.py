@@ -68,7 +68,9 @@ def fit(data: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, prior: float) -
     held = nth % 4 == 3
     model = _fit(*_some(data, bounds, ~held), toxic[~held], prior)
     if held.any() and 0 < toxic[held].sum() < held.sum():
-        _calibrate(model, margins(model, *_some(data, bounds, held)), toxic[held], prior)
+        few = [np.flatnonzero(held)[k : k + 64] for k in range(0, int(held.sum()), 64)]
+        margin = np.concatenate([margins(model, *_some(data, bounds, np.isin(np.arange(len(toxic)), k))) for k in few])
+        _calibrate(model, margin, toxic[held], prior)
     return model
 
 
@@ -116,34 +118,41 @@ def _fit(data: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, prior: float)
     for keys, _ in _counts(data, bounds):
         for k in (0, 1):
             held[k] += np.bincount((keys & (size - 1))[toxic[keys >> BITS] == k], minlength=size).astype(np.int32)
-    share = held.sum(axis=0) / len(toxic)
+    share = held.sum(axis=0, dtype=np.float32) / np.float32(len(toxic))
     spread = np.sqrt(share * (1 - share) * (1 / groups[0] + 1 / groups[1])) + 1e-12
     telling = np.abs(held[1] / groups[1] - held[0] / groups[0]) > MIN_DEVIATION * spread
+    chosen = np.flatnonzero(telling)
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    held = held[:, chosen]
+    del share, spread, telling
     ratio = np.log((held[1] + 1) / (groups[1] + 2)) - np.log((held[0] + 1) / (groups[0] + 2))
     row, bucket, times, total = [], [], [], np.zeros(len(toxic))
     for keys, n in _counts(data, bounds):
         total += np.bincount(keys >> BITS, n, len(toxic))
-        use = telling[keys & (size - 1)]
+        use = place[keys & (size - 1)] >= 0
         row.append(keys[use] >> BITS)
-        bucket.append(keys[use] & (size - 1))
+        bucket.append(place[keys[use] & (size - 1)])
         times.append(n[use])
     row, bucket, times = np.concatenate(row), np.concatenate(bucket), np.concatenate(times)
     value = times / np.sqrt(total[row]) * ratio[bucket]
     scale = 1 / max(float(np.std(np.bincount(row, value, len(toxic)))), 1e-9)
     value *= scale
     cost = np.where(toxic, prior / groups[1], (1 - prior) / groups[0])
-    weight, bias = telling.astype(np.float64), base
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    weight, bias = np.ones(len(chosen)), base
+    m, v, mb, vb = np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0
     for step in range(1, EPOCHS + 1):
         margin = bias + np.bincount(row, value * weight[bucket], len(toxic))
         error = cost * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic)
-        slope = np.bincount(bucket, value * error[row], size) + 1e-7 * weight
+        slope = np.bincount(bucket, value * error[row], len(chosen)) + 1e-7 * weight
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         mb, vb = 0.9 * mb + 0.1 * error.sum(), 0.99 * vb + 0.01 * error.sum() ** 2
         rate = 0.3 * (1 - step / (EPOCHS + 1))
         weight -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-9)
-    return Model((weight * ratio * scale * telling).astype(np.float32), float(bias))
+    weights = np.zeros(size, np.float32)
+    weights[chosen] = weight * ratio * scale
+    return Model(weights, float(bias))
 
 
 def _counts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,12 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Mod
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     used = texts.withColumn("size", size).orderBy("size", "h").limit(2 * SAMPLE_PER_CLASS)
-    used = used.withColumn("sum", F.sum("size").over(Window.orderBy("size", "h", "toxic"))).where(F.col("sum") <= SAMPLE_BYTES).collect()
-    used.sort(key=lambda r: (r["h"], r["toxic"], r["text"] or ""))
-    raw = [(r["text"] or "").encode() for r in used]
-    toxic = np.array([r["toxic"] == 1 for r in used], bool)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    return fit(np.frombuffer(b"".join(raw), np.uint8), bounds, toxic, counts.get(1, 0) / sum(counts.values()))
+    used = used.withColumn("sum", F.sum("size").over(Window.orderBy("size", "h", "toxic"))).where(F.col("sum") <= SAMPLE_BYTES)
+    used = used.orderBy("h", "toxic", "text").select("toxic", "text").toArrow()
+    toxic = used["toxic"].to_numpy() == 1
+    return fit(*byte_column(used["text"]), toxic, counts.get(1, 0) / sum(counts.values()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
