@@ -101,3 +101,20 @@ def test_similar_groups_against_brute_force(spark):
     assert len(alike) > 50 and len(missed) <= 0.02 * len(alike)
     owner = groups(alike, sorted(sets))
     assert all(owner[i] == owner[got[i]] for i in got)
+
+
+def test_edited_copies_join_their_original(spark):
+    """Copies are alike to the original only, which is neither the least nor the greatest of its buckets."""
+    rng, rows = random.Random(9), []
+    for family in range(2):
+        base = prose(50 + family, 400).split()
+        rows.append((family, " ".join(base)))
+        for c in range(300):
+            copy = list(base)
+            for k in rng.sample(range(0, 396, 6), 8):
+                copy[k + rng.randrange(6)] = f"w{rng.randrange(10**9)}"
+            rows.append((1000 * (family + 1) + c, " ".join(copy)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    alike = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == groups(alike, sorted(sets)) and set(got.values()) == {0, 1}

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Scratch, blocks, check_columns
+from tracemill.llm.common import Scratch, blocks, check_columns, ranges
 from tracemill.llm.components import components
 
 RADIUS = 2
@@ -145,6 +145,78 @@ def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
 
 
 _PART = pa.struct([("level", pa.int32()), ("part", pa.int32()), ("print", pa.int64())])
+#: Members of one side of a group of texts compared with each other in a task.
+TILE = 2048
+
+
+def _spanning(labels: list[bytes], sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join what is alike among texts of known labels; texts of one label are joined already.
+
+    ``flat`` holds the sets one after the other. Texts of the most frequent label are not tried with each other.
+    """
+    count = len(labels)
+    number = {name: k for k, name in enumerate(dict.fromkeys(labels))}
+    root = np.array([number[name] for name in labels], np.int64)
+    if len(number) < 2:
+        return []
+    ends = np.cumsum(sizes)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(count), sizes)[order]
+    head = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+    length = np.diff(np.append(head, len(flat)))
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.repeat(np.arange(len(head)), length)
+    links, left = [], len(number)
+    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():
+        mine = place[ends[i] - sizes[i] : ends[i]]
+        mine = mine[length[mine] > 1]
+        both = np.bincount(owner[ranges(head[mine], length[mine])], minlength=count)
+        for j in np.flatnonzero((both >= similarity * (sizes[i] + sizes - both)) & (root != root[i])).tolist():
+            if root[j] != root[i]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+                left -= 1
+        if left == 1:
+            break
+    return links
+
+
+def _rest(rows: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links missing between the components ``parts`` of the texts of one bucket.
+
+    Buckets of one component, of up to three texts (all tried) and of the same texts as another are left
+    out. The others are compared whole: dealt over tiles, each pair of tiles a group of bounded size,
+    which returns spanning links only.
+    """
+    key = ["level", "part", "print"]
+    named = rows.join(parts, rows["content"] == parts["node"], "left").select(*key, "content", F.coalesce("component", "content").alias("label"))
+    buckets = named.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("h"), F.min("label").alias("least"), F.max("label").alias("most"))
+    buckets = buckets.where("n > 3 and least != most").groupBy("n", "h").agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    dealt = named.join(buckets, key).withColumn("tile", F.pmod(F.xxhash64("content"), "tiles").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("t1"), F.greatest(t, "tile").alias("t2")))
+    dealt = dealt.select(*key, "content", "label", F.explode(pairs).alias("p")).select(F.xxhash64(*key, "p.t1", "p.t2").alias("g"), *key, "p.*", "content", "label")
+    group = ["g", *key, "t1", "t2"]
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(r[2]) for r in held], np.int64)
+        found = _spanning([r[1] for r in held], sizes, np.concatenate([r[2] for r in held]), similarity)
+        return pa.record_batch([pa.array([held[e[k]][0] for e in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(group))), strict=True))
+            for k, (g, content, label) in enumerate(zip(names, batch.column(len(group)).to_pylist(), batch.column(len(group) + 1).to_pylist(), strict=True)):
+                if held and g != now:
+                    yield solve(held)
+                    held = []
+                held.append((content, label, batch.column(len(group) + 2)[k].values.to_numpy().copy()))
+                now = g
+        if held:
+            yield solve(held)
+
+    whole = dealt.join(sets, "content").repartition(*group).sortWithinPartitions(*group, "content")
+    return whole.select(*group, "content", "label", "shingles").mapInArrow(run, "a binary, b binary")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -155,7 +227,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     shingles (two levels, so that texts of similar size share one; ``PARTS`` of each), and each part has a
     fingerprint. Texts at the similarity share a part's fingerprint with a chance above 0.99. Candidates are
     whole fingerprints within radius 2 by the covering tables, and equal part fingerprints; each text of
-    a bucket is tried with the first and the last one of it, so buckets cost rows in proportion to their size. Every candidate is
+    a bucket is tried with the first and the last one of it, so buckets cost rows in proportion to their size. Buckets
+    that are not one component then are compared whole (``_rest``). Every candidate is
     checked on the shingle sets themselves. Equal word sequences are one class from the start; texts without
     words are copies of each other; rows of one doc_id are one document.
     """
@@ -183,8 +256,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     close = links(same.select("fp")).join(same.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
     equal = known.select("fp", me.alias("x")).join(same, "fp").select("x", F.col("low").alias("y"))
     tried = tried.unionByName(close).unionByName(equal).where("x.content != y.content")
-    tried = tried.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
-    pairs = scratch.save(tried.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct())
+    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
+    pairs = scratch.save(tried.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b"), fits.alias("fits")).distinct())
     wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
     owners = classes.join(wanted, "content").select("content", F.col("first").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(owners, "doc_id")
@@ -202,8 +275,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("p"))
     right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("q"))
     both = F.size(F.array_intersect("p", "q"))
-    alike = pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b")
+    alike = pairs.where("fits").join(left, "a").join(right, "b").where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b")
     parts = scratch.save(components(alike, scratch))
+    members = rows.join(crowded.select(*key), key).select(*key, "x.content")
+    rest = scratch.save(_rest(members, parts, sets, similarity))
+    scratch.drop(pairs, sets)
+    if not rest.isEmpty():
+        parts = scratch.save(components(rest.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch))
     named = classes.select("content", "first").join(parts, F.col("content") == F.col("node")).select("content", "first", "component")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     owners = classes.select("content", "first").join(named.join(smallest, "component").select("content", "component_id"), "content", "left")
