@@ -118,3 +118,16 @@ def test_edited_copies_join_their_original(spark):
     alike = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == groups(alike, sorted(sets)) and set(got.values()) == {0, 1}
+
+
+def test_short_texts_and_their_beginnings(spark):
+    """Appended and truncated texts at 0.8 or just above, in both orders of size; no pair may be missed."""
+    rows, k = [], 0
+    for words, more in [(8, 1), (9, 1), (12, 2), (20, 4), (40, 9), (64, 15), (100, 24), (107, 25), (108, 26), (130, 31), (300, 74)]:
+        for _ in range(60 if words < 300 else 20):
+            text = prose(10_000 + k, words + more).split()
+            assert words - 4 >= 0.8 * (words + more - 4)
+            rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:words] if k % 2 else text[more:]))]
+            k += 1
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}

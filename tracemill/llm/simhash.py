@@ -108,21 +108,41 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Part fingerprints of a level, at most; parts hold 2 to 8 shingles on average.
+#: Part fingerprints of a level, at most.
 PARTS = 32
+#: Pairs whose larger text has no more shingles than this meet by single shingles instead, without exception.
+EXACT = 128
 
 
-def _sketch(text: bytes, words: int) -> tuple[bytes, int, int, list[dict]]:
-    """Digest of the word sequence, number of distinct shingles, whole fingerprint, and part fingerprints."""
+def _keys(hashes: np.ndarray, similarity: float) -> tuple[int, range]:
+    """How many of the smallest hashes are keys by themselves, and the levels of parts.
+
+    Two texts of n and m <= EXACT shingles share one of their n - ceil(similarity n) + 1 smallest
+    hashes each (prefix filter). A larger pair differs in D <= 2 M (1 - similarity) / (1 + similarity) shingles, M being
+    the larger size; its level is the smallest of more than D parts, so that about e^-1 of them or more are equal. A text
+    emits the levels of all M that it can be paired at.
+    """
+    n = len(hashes)
+    alone = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n <= EXACT else 0
+    least, most = max(n, EXACT + 1), int(n / similarity + 1e-9)
+    level = lambda size: int(2 * size * (1 - similarity) / (1 + similarity) + 1e-9).bit_length()
+    return alone, range(level(least), level(most) + 1) if least <= most else range(0)
+
+
+def _sketch(text: bytes, words: int, similarity: float) -> tuple[bytes, int, int, list[dict]]:
+    """Digest of the word sequence, number of distinct shingles, whole fingerprint, and part fingerprints.
+
+    Single shingles of short texts come as parts of level -1.
+    """
     tokens = text.translate(_LOWER).split()
     digest = xxhash.xxh3_128_digest(b" ".join(tokens))
     repeated = _shingle_hashes(tokens, words)
     hashes = np.unique(repeated)
     if not len(hashes):
         return digest, 0, 0, []
-    parts = []
-    exact = np.log2(max(len(hashes) / 4, 1))
-    for level in {int(np.floor(exact)), int(np.ceil(exact))}:
+    alone, levels = _keys(hashes, similarity)
+    parts = [{"level": -1, "part": 0, "print": f} for f in hashes[:alone].view(np.int64).tolist()]
+    for level in levels:
         part = (hashes & np.uint64((1 << level) - 1)).astype(np.int64)
         order = np.flatnonzero(part < PARTS)
         order = order[np.argsort(part[order], kind="stable")]
@@ -223,10 +243,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """``(doc_id, component_id)`` for every row, linked at a Jaccard similarity of distinct shingles.
 
     Whole fingerprints tell texts apart whose similarity is well above 0.8 only, as one bit in seven differs
-    there. So a text is also cut into parts by the low bits of its shingles' hashes, about one per 2 to 8
-    shingles (two levels, so that texts of similar size share one; ``PARTS`` of each), and each part has a
-    fingerprint. Texts at the similarity share a part's fingerprint with a chance above 0.99. Candidates are
-    whole fingerprints within radius 2 by the covering tables, and equal part fingerprints; each text of
+    there. So pairs of up to ``EXACT`` shingles meet by the smallest hashes, of which they share one for certain, and larger
+    texts are cut into parts by the low bits of their shingles' hashes (``PARTS`` of a level), and each part has a
+    fingerprint. Larger texts at the similarity share a part's fingerprint but for a chance of about 0.64^32. Candidates are
+    whole fingerprints within radius 2 by the covering tables, and equal keys; each text of
     a bucket is tried with the first and the last one of it, so buckets cost rows in proportion to their size. Buckets
     that are not one component then are compared whole (``_rest``). Every candidate is
     checked on the shingle sets themselves. Equal word sequences are one class from the start; texts without
@@ -238,7 +258,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 4 << 20):
-            rows = [_sketch((t.as_py() or "").encode(), words) for t in batch.column(1)]
+            rows = [_sketch((t.as_py() or "").encode(), words, similarity) for t in batch.column(1)]
             types = (pa.binary(), pa.int64(), None, pa.list_(_PART))
             columns = [pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)) if t is None else pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.record_batch([batch.column(0), *columns], ["doc_id", "content", "n", "fp", "parts"])
