@@ -58,6 +58,22 @@ def test_links_against_brute_force(spark, vectors, monkeypatch, tile):
     assert got == brute(vectors)
 
 
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_dense_clusters_joined_by_a_few_links(spark, monkeypatch, tile):
+    """The links between two clusters are among the nearest of neither end."""
+    monkeypatch.setattr(embedding_neighbours, "TILE", tile)
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v)
+    a, b = (unit(rng.standard_normal(64)) for _ in range(2))
+    b = 0.94 * a + math.sqrt(1 - 0.94**2) * unit(b - (a @ b) * a)
+    rows = [(2 * k + c if c < 2 else 2000 + k, near(centre, rng, 0.12)) for c, centre in enumerate((a, b, unit(rng.standard_normal(64)))) for k in range(300)]
+    true = brute(rows)
+    across = sum(n - 299 for i, (n, _) in true.items() if i < 1000)
+    assert 0 < across < 3000 and {c for _, c in true.values()} == {0, 2000}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_neighbours.near_duplicates(as_frame(spark, rows)).collect()}
+    assert got == true
+
+
 def test_audit_asks_for_more_tables(spark, vectors, monkeypatch):
     """With far too few tables the audit notices, and further rounds find the rest."""
     monkeypatch.setattr(embedding_neighbours, "MEETING", 0.2)

@@ -2,8 +2,8 @@
 
 A neighbour graph starts from hash tables of random hyperplanes and is refined by comparing
 neighbours of a common neighbour, until no new links turn up. A list that is full of links may hide
-more: the components of such saturated vectors are compared whole, in tiles, which amounts to
-enlarging their lists as far as needed. An exact audit of some vectors against all measures recall; while it is too
+more: the components of such saturated vectors are compared whole, in tiles, with each other too where they
+come close, which amounts to enlarging their lists as far as needed. An exact audit of some vectors against all measures recall; while it is too
 low, more tables are added.
 """
 
@@ -150,17 +150,90 @@ def _progress(lists: DataFrame) -> tuple:
 
 
 def _complete(lists: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(id, linked)`` and ``(node, component)`` of all vectors with links; saturated components are compared whole."""
+    """``(id, linked)`` and ``(node, component)`` of all vectors with links; saturated components are compared whole.
+
+    A link that neither end lists has a saturated vector at both ends, so components with such vectors
+    are compared with each other as well, unless they lie too far apart for a link (``_close``).
+    """
     links = lists.where(F.col("sim") >= THRESHOLD).select("a", "b")
     component = scratch.save(components(links, scratch))
     degree = links.groupBy("a").agg(F.count("*").alias("n"))
     full = degree.where(F.col("n") >= NEIGHBOURS).join(component, F.col("a") == F.col("node")).select("component").distinct()
-    crowded = component.join(full, "component").join(classes, F.col("node") == F.col("id")).select("id", "component", "times", "unit")
-    exact = _tiles(crowded)
+    crowded = scratch.save(component.join(full, "component").join(classes, F.col("node") == F.col("id")).select("id", "component", "dim", "times", "unit"))
+    grouped = scratch.save(components(_close(crowded), scratch)).select(F.col("node").alias("component"), F.col("component").alias("together"))
+    dealt = crowded.join(grouped, "component", "left").select("id", F.coalesce("together", "component").alias("component"), "times", "unit", F.col("component").alias("own"))
+    exact = scratch.save(_tiles(dealt))
+    bridges = exact.where("linked is null").select("a", "b").distinct()
     times = classes.select(F.col("id").alias("b"), "times")
     loose = component.join(full, "component", "left_anti").select(F.col("node").alias("a"))
     listed = links.join(loose, "a").join(times, "b").groupBy(F.col("a").alias("id")).agg(F.sum("times").alias("linked"))
-    return scratch.save(exact.unionByName(listed)), component
+    counted = exact.where("linked is not null").groupBy("id").agg(F.sum("linked").alias("linked"))
+    if not bridges.isEmpty():
+        merged = scratch.save(components(bridges, scratch)).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        component = scratch.save(component.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")))
+    return scratch.save(counted.unionByName(listed)), component
+
+
+def _close(members: DataFrame) -> DataFrame:
+    """``(a, b)``: components that a link could join, by the angle of their pivots and their radii about them.
+
+    A component's pivot is its first vector. Pivots are dealt over tiles, and each pair of tiles is one group.
+    """
+    width = math.acos(THRESHOLD) + 1e-6
+    first = members.where("id = component").select("component", F.col("unit").alias("pivot"))
+
+    def angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angles = [math.acos(max(-1.0, min(1.0, float(np.frombuffer(u, np.float64) @ np.frombuffer(p, np.float64))))) for u, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(angles, pa.float64())], ["component", "angle"])
+
+    angles = members.join(first, "component").select("component", "unit", "pivot").mapInArrow(angle, "component bigint, angle double")
+    pivots = angles.groupBy("component").agg(F.max("angle").alias("radius")).join(members.where("id = component").select("component", "dim", "unit"), "component")
+    sizes = pivots.groupBy("dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = pivots.join(sizes, "dim").withColumn("tile", F.pmod(F.xxhash64("component"), "tiles").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("t1"), F.greatest(t, "tile").alias("t2")))
+    dealt = rows.select("dim", F.explode(pairs).alias("p"), "tile", "component", "radius", "unit").select("dim", "p.*", "tile", "component", "radius", "unit")
+    group = ["dim", "t1", "t2"]
+
+    def near(held: list[tuple]) -> pa.RecordBatch:
+        left = [r for r in held if r[0] == held[0][0]]
+        right = [r for r in held if r[0] != held[0][0]] or left
+        angles = np.arccos(np.clip(_matrix([r[3] for r in left]) @ _matrix([r[3] for r in right]).T, -1, 1))
+        radii = [np.array([r[2] for r in side]) for side in (left, right)]
+        i, j = np.nonzero(angles <= radii[0][:, None] + radii[1][None, :] + width)
+        names = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+        a, b = names[0][i], names[1][j]
+        # A spanning set of what the tile joins.
+        root = {n: n for side in names for n in side.tolist()}
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        found = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((x, y))
+        return pa.record_batch([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for d, t1, t2, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (d, t1, t2) != now:
+                    yield near(held)
+                    held = []
+                held.append(tuple(row))
+                now = d, t1, t2
+        if held:
+            yield near(held)
+
+    ordered = dealt.repartition(*group).sortWithinPartitions(*group, "tile", "component")
+    return ordered.select(*group, "tile", "component", "radius", "unit").mapInArrow(run, "a bigint, b bigint")
 
 
 def audit(classes: DataFrame, counts: DataFrame) -> float:
@@ -195,9 +268,9 @@ def audit(classes: DataFrame, counts: DataFrame) -> float:
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """``(id, linked)`` with the exact number of linked vectors, for whole components ``(id, component, times, unit)``.
+    """Parts of the exact number of linked vectors, ``(id, linked)``, for whole components ``(id, component, times, unit, own)``.
 
-    Vectors are binned by their angle to the component's first vector. Links join equal or adjacent
+    Rows without a number name two values ``a``, ``b`` of ``own`` that a link joins. Vectors are binned by their angle to the component's first vector. Links join equal or adjacent
     bins only. A crowded bin is dealt over tiles, and each pair of tiles is one group of bounded size.
     """
     spark = members.sparkSession
@@ -207,9 +280,9 @@ def _tiles(members: DataFrame) -> DataFrame:
     def angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = [int(math.acos(max(-1.0, min(1.0, float(np.frombuffer(u, np.float64) @ np.frombuffer(p, np.float64))))) / width) for u, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.record_batch([*batch.columns[:4], pa.array(bins, pa.int32())], ["component", "id", "times", "unit", "bin"])
+            yield pa.record_batch([*batch.columns[:4], batch.column(5), pa.array(bins, pa.int32())], ["component", "id", "times", "unit", "own", "bin"])
 
-    binned = members.join(first, "component").select("component", "id", "times", "unit", "pivot").mapInArrow(angle, "component bigint, id bigint, times bigint, unit binary, bin int")
+    binned = members.join(first, "component").select("component", "id", "times", "unit", "pivot", "own").mapInArrow(angle, "component bigint, id bigint, times bigint, unit binary, own bigint, bin int")
     binned = Scratch(spark).save(binned)
     sizes = binned.groupBy("component", "bin").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     after = sizes.select("component", (F.col("bin") - 1).alias("bin"), F.col("tiles").alias("next_tiles"))
@@ -222,7 +295,7 @@ def _tiles(members: DataFrame) -> DataFrame:
     within = F.transform(numbers("tiles"), lambda t: F.when(t < tile, pair(own, t, own, tile, False)).otherwise(pair(own, tile, own, t, True)))
     forward = F.transform(numbers("next_tiles"), lambda t: pair(own, tile, own + 1, t, True))
     backward = F.transform(numbers("last_tiles"), lambda t: pair(own - 1, t, own, tile, False))
-    dealt = rows.select("component", "id", "times", "unit", F.explode(F.concat(within, forward, backward)).alias("p")).select("component", "p.*", "id", "times", "unit")
+    dealt = rows.select("component", "id", "times", "unit", "own", F.explode(F.concat(within, forward, backward)).alias("p")).select("component", "p.*", "id", "times", "unit", "own")
     key = ["component", "b1", "t1", "b2", "t2"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,27 +308,32 @@ def _tiles(members: DataFrame) -> DataFrame:
                 sides[1] = sides[0]
             ids, times = ([np.array([r[k] for r in s], np.int64) for s in sides] for k in (1, 2))
             out: dict[int, int] = {}
+            bridges = np.zeros((0, 2), np.int64)
             if sides[0] and sides[1]:
                 linked = _matrix([r[3] for r in sides[0]]) @ _matrix([r[3] for r in sides[1]]).T >= THRESHOLD
                 if one:
                     np.fill_diagonal(linked, False)
                 found = [(ids[0], linked @ times[1])] + ([] if one else [(ids[1], linked.T @ times[0])])
                 out = {i: n for names, sums in found for i, n in zip(names.tolist(), sums.tolist(), strict=True)}
-            return pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["id", "linked"])
+                own = [np.array([r[4] for r in s], np.int64) for s in sides]
+                i, j = np.nonzero(linked & (own[0][:, None] != own[1][None, :]))
+                bridges = np.unique(np.stack([np.minimum(own[0][i], own[1][j]), np.maximum(own[0][i], own[1][j])], axis=1), axis=0)
+            none = [None] * len(bridges)
+            ends = [pa.array([None] * len(out) + bridges[:, k].tolist(), pa.int64()) for k in (0, 1)]
+            return pa.record_batch([pa.array(list(out) + none, pa.int64()), pa.array(list(out.values()) + none, pa.int64()), *ends], ["id", "linked", "a", "b"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for *g, left, vid, times, unit in zip(*columns, strict=True):
+            for *g, left, vid, times, unit, own in zip(*columns, strict=True):
                 if held and g != group:
                     yield solve()
                     held = []
-                held.append((left, vid, times, unit))
+                held.append((left, vid, times, unit, own))
                 group = g
         if held:
             yield solve()
 
-    found = dealt.repartition(*key).sortWithinPartitions(*key, "id").select(*key, "left", "id", "times", "unit").mapInArrow(count, "id bigint, linked bigint")
-    return found.groupBy("id").agg(F.sum("linked").alias("linked"))
+    return dealt.repartition(*key).sortWithinPartitions(*key, "id").select(*key, "left", "id", "times", "unit", "own").mapInArrow(count, "id bigint, linked bigint, a bigint, b bigint")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
