@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, embedding_neighbours, html_extract, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity
+from tracemill.llm import bpe, decontaminate, embedding_neighbours, html_extract, language_id, line_dedup, merkle, packing, quality_rules, simhash, suffix_dedup, toxicity, word_runs
 from tracemill.llm.common import ship
 
 
@@ -87,6 +87,48 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
+    return rows.select(
+        "row.doc_id",
+        "n_words",
+        decontaminate.n_words_in(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.document_manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("data", "leaf"), F.col("path")))
+    return folded.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_runs.collapse(word_runs.with_repeated_tails(table(spark, sf_dir, "documents")), keep=("doc_id",))
+    top = word_runs.longest(F.col("runs"))
+    found = rows.select("row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "runs", "collapsed", top.alias("top"))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        word_runs.digest(F.col("runs")).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_embedding_neighbours": op2_embedding_neighbours,
@@ -98,5 +140,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_word_runs": op13_word_runs,
+}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_decontaminate": decontaminate.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_word_runs": word_runs.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
