@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracle.logs import LOG_ORACLE, declared
 from oracle.models import AS_OF, columns_of, with_blocks
+from oracle.stored import STORED_ORACLE
 from tracemill.plans import silver, staging
 from tracemill.queries import LAYERS
 
@@ -116,4 +117,5 @@ ORACLE: dict[str, str] = {
 }
 
 ORACLE.update(LOG_ORACLE)
+ORACLE.update(STORED_ORACLE)
 ORACLE.update({f"checks_{layer}": declared(names) for layer, names in LAYERS.items()})

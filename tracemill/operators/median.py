@@ -32,8 +32,20 @@ def exact_median(rows: DataFrame, groups: list[str], micros: str, name: str) ->
         source.where(F.col(micros).isNotNull())
         .groupBy(*keys, F.col(micros).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.shiftright("_v", BIN_BITS))
     )
+    out = _median(counts, keys, name)
+    return out if groups else out.drop("_all")
+
+
+def median_of_counts(counts: DataFrame, groups: list[str], micros: str, n: str, name: str) -> DataFrame:
+    """The same from values that were counted before; counts of one value add up, and may be taken away again
+    by negative ones. A value whose count is zero is not there."""
+    added = counts.where(F.col(micros).isNotNull()).groupBy(*groups, F.col(micros).alias("_v")).agg(F.sum(n).alias("_n"))
+    return _median(added.where("_n > 0"), groups, name)
+
+
+def _median(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    counts = counts.withColumn("_bin", F.shiftright("_v", BIN_BITS))
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
     placed = bins.select(
         *keys,
@@ -55,9 +67,8 @@ def exact_median(rows: DataFrame, groups: list[str], micros: str, name: str) ->
         .withColumn("_begin", F.col("_end") - F.col("_n"))
     )
     covers = lambda rank: (F.col("_begin") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-    out = ranked.groupBy(*keys).agg(
+    return ranked.groupBy(*keys).agg(
         (
             (F.max(F.when(covers("_low"), F.col("_v"))) + F.max(F.when(covers("_high"), F.col("_v")))) / F.lit(2.0)
         ).alias(name)
     )
-    return out if groups else out.drop("_all")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import expressions as x
-from tracemill.operators.median import exact_median
+from tracemill.operators.median import exact_median, median_of_counts
 from tracemill.plans.silver import most_frequent
 
 TOP_EXTENSIONS = 20
@@ -160,8 +160,19 @@ def _peaks(hours: DataFrame) -> DataFrame:
     )
 
 
+def call_durations(calls: DataFrame) -> DataFrame:
+    """Calls counted per tool and exact duration."""
+    timed = calls.withColumn("micros", x.to_micros(F.col("estimated_execution_seconds"))).where("micros IS NOT NULL")
+    return timed.groupBy("tool_name", "tool_category", "micros").agg(F.count(F.lit(1)).alias("n"))
+
+
 def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    cells = tool_cells(calls)
+    return tool_efficiency(tool_cells(calls), call_durations(calls), tools)
+
+
+def tool_efficiency(cells: DataFrame, durations: DataFrame, tools: DataFrame) -> DataFrame:
+    """From cells and durations, which may be finer than `tool_cells` and `call_durations` make them: all
+    their numbers add up."""
     hours = cells.groupBy("tool_name", "hour_of_day").agg(F.sum("n").alias("call_count"))
     per_tool = (
         cells.groupBy("tool_name", "tool_category")
@@ -177,12 +188,7 @@ def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
         # Over one row per tool; saves another pass over the calls.
         .withColumn("category_total_calls", F.sum("total_calls").over(Window.partitionBy("tool_category")))
     )
-    medians = exact_median(
-        calls.withColumn("_us", x.to_micros(F.col("estimated_execution_seconds"))),
-        ["tool_name", "tool_category"],
-        "_us",
-        "_median",
-    )
+    medians = median_of_counts(durations, ["tool_name", "tool_category"], "micros", "n", "_median")
     known = tools.select("tool_name", "tool_description", "popularity_rank", "usage_tier")
     # Every side holds a row per tool; sizes are left to run-time planning.
     return (
@@ -215,20 +221,26 @@ def agg_tool_efficiency(calls: DataFrame, tools: DataFrame) -> DataFrame:
     )
 
 
-def file_operation_sets(operations: DataFrame) -> DataFrame:
-    """File operation measures overall, by file type, by operation type and by extension.
+FILE_KEYS = ["file_type_category", "operation_type", "file_extension"]
 
-    Rows are first counted per distinct combination of everything that is grouped or
-    counted distinctly; the grouping sets expand only those combinations.
-    """
-    columns = ["file_type_category", "operation_type", "file_extension"]
-    cells = operations.groupBy(*columns, "file_path", "session_id", "project_id").agg(
+
+def file_cells(operations: DataFrame) -> DataFrame:
+    """File operations per distinct combination of everything that is grouped or counted distinctly."""
+    return operations.groupBy(*FILE_KEYS, "file_path", "session_id", "project_id").agg(
         F.count(F.lit(1)).alias("n"),
         x.count_where(F.col("is_read")).alias("reads"),
         x.count_where(F.col("is_write")).alias("writes"),
         x.count_where(F.col("is_edit")).alias("edits"),
         F.sum("operation_content_length").alias("length"),
     )
+
+
+def file_operation_sets(cells: DataFrame) -> DataFrame:
+    """File operation measures overall, by file type, by operation type and by extension.
+
+    The grouping sets expand only the combinations of the cells.
+    """
+    columns = FILE_KEYS
     # Grouping sets give no overall row for no input; this row, which adds nothing, gives one.
     nothing = cells.sparkSession.range(1).select(
         *[F.lit(0 if f.name == "n" else None).cast(f.dataType).alias(f.name) for f in cells.schema.fields]
@@ -261,8 +273,12 @@ def file_operation_sets(operations: DataFrame) -> DataFrame:
 
 
 def agg_code_changes(operations: DataFrame, top_extensions: int = TOP_EXTENSIONS) -> DataFrame:
+    return code_changes(file_cells(operations), top_extensions)
+
+
+def code_changes(cells: DataFrame, top_extensions: int = TOP_EXTENSIONS) -> DataFrame:
     """Levels of file operations; of the extensions the most used ones, which is what the report shows."""
-    sets = file_operation_sets(operations)
+    sets = file_operation_sets(cells)
     by_extension = F.col("aggregation_level") == "by_extension"
     top = (
         sets.where(by_extension)
@@ -344,13 +360,17 @@ def daily_file_operations(operations: DataFrame) -> DataFrame:
 def agg_daily_summary(
     dates: DataFrame, sessions: DataFrame, messages: DataFrame, calls: DataFrame, operations: DataFrame
 ) -> DataFrame:
-    """One row per day of the date dimension, zero where nothing happened."""
-    s = daily_sessions(sessions).select("date_key", "session_count", "active_projects", "total_session_minutes", "avg_session_minutes")
+    return daily_summary(dates, daily_sessions(sessions), daily_messages(messages), daily_tools(calls), daily_file_operations(operations))
+
+
+def daily_summary(dates: DataFrame, sessions: DataFrame, messages: DataFrame, calls: DataFrame, operations: DataFrame) -> DataFrame:
+    """One row per day of the date dimension, zero where nothing happened, from measures per day."""
+    s = sessions.select("date_key", "session_count", "active_projects", "total_session_minutes", "avg_session_minutes")
     joined = (
         dates.join(s, "date_key", "left")
-        .join(daily_messages(messages), "date_key", "left")
-        .join(daily_tools(calls), "date_key", "left")
-        .join(daily_file_operations(operations), "date_key", "left")
+        .join(messages, "date_key", "left")
+        .join(calls, "date_key", "left")
+        .join(operations, "date_key", "left")
     )
     count = lambda name: x.zero(F.col(name)).alias(name)
     real = lambda name: F.coalesce(F.col(name), F.lit(0.0))
@@ -401,6 +421,11 @@ def hourly_messages(messages: DataFrame) -> DataFrame:
         x.count_where(F.col("role") == "assistant").alias("assistant"),
         x.count_where(F.col("has_code_block")).alias("code"),
     )
+    return hourly_message_cells(cells)
+
+
+def hourly_message_cells(cells: DataFrame) -> DataFrame:
+    on = ["hour_of_day", "day_of_week"]
     return cells.groupBy(*on).agg(
         F.sum("n").alias("message_count"),
         F.count_distinct("session_id").alias("unique_sessions"),
@@ -420,9 +445,13 @@ def hourly_tools(calls: DataFrame) -> DataFrame:
         x.count_where(F.col("is_search_operation")).alias("search"),
         x.count_where(F.col("is_shell_command")).alias("shell"),
     )
-    return cells.groupBy(*on).agg(
+    return hourly_tool_cells(cells)
+
+
+def hourly_tool_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("hour_of_day", "day_of_week").agg(
         F.sum("n").alias("tool_call_count"),
-        F.count("tool_name").alias("unique_tools"),
+        F.count_distinct("tool_name").alias("unique_tools"),
         F.sum("file").alias("file_operations"),
         F.sum("search").alias("search_operations"),
         F.sum("shell").alias("shell_commands"),
@@ -445,15 +474,20 @@ def hour_day_grid(spark) -> DataFrame:
 
 
 def agg_hourly_activity(messages: DataFrame, calls: DataFrame, sessions: DataFrame) -> DataFrame:
+    return hourly_activity(hourly_messages(messages), hourly_tools(calls), session_starts(sessions))
+
+
+def hourly_activity(messages: DataFrame, calls: DataFrame, starts: DataFrame) -> DataFrame:
+    """One row per hour and weekday, from measures per hour and weekday."""
     on = ["hour_of_day", "day_of_week"]
     hour, dow = F.col("hour_of_day"), F.col("day_of_week")
     count = lambda name: x.zero(F.col(name)).alias(name)
     real = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     return (
         hour_day_grid(messages.sparkSession)
-        .join(hourly_messages(messages), on, "left")
-        .join(hourly_tools(calls), on, "left")
-        .join(session_starts(sessions), on, "left")
+        .join(messages, on, "left")
+        .join(calls, on, "left")
+        .join(starts, on, "left")
         .select(
             hour,
             dow,

@@ -163,9 +163,8 @@ def tool_statistics(usage: DataFrame) -> DataFrame:
     """Use of each tool. The first grouping shrinks the rows on keys that spread any
     popular tool; the distinct counts then run on what is left."""
     micros = x.to_micros(F.col("estimated_execution_seconds"))
-    return (
-        usage.groupBy("tool_name", "session_id", "project_id", "partition_date")
-        .agg(
+    return tool_statistics_of_cells(
+        usage.groupBy("tool_name", "session_id", "project_id", "partition_date").agg(
             F.count(F.lit(1)).alias("n"),
             F.min("effective_timestamp").alias("first_at"),
             F.max("effective_timestamp").alias("last_at"),
@@ -174,26 +173,32 @@ def tool_statistics(usage: DataFrame) -> DataFrame:
             F.sum(micros).alias("micros"),
             F.count(micros).alias("timed"),
         )
-        .groupBy("tool_name")
-        .agg(
-            F.sum("n").alias("total_calls"),
-            F.count_distinct("session_id").alias("sessions_used"),
-            F.count_distinct("project_id").alias("projects_used"),
-            F.count_distinct("partition_date").alias("days_used"),
-            F.min("first_at").alias("first_used"),
-            F.max("last_at").alias("last_used"),
-            F.sum("invocations").alias("invocation_count"),
-            F.sum("results").alias("result_count"),
-            (x.ratio(F.sum("micros"), F.sum("timed")) / F.lit(1e6)).alias("avg_execution_seconds"),
-        )
+    )
+
+
+def tool_statistics_of_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("tool_name").agg(
+        F.sum("n").alias("total_calls"),
+        F.count_distinct("session_id").alias("sessions_used"),
+        F.count_distinct("project_id").alias("projects_used"),
+        F.count_distinct("partition_date").alias("days_used"),
+        F.min("first_at").alias("first_used"),
+        F.max("last_at").alias("last_used"),
+        F.sum("invocations").alias("invocation_count"),
+        F.sum("results").alias("result_count"),
+        (x.ratio(F.sum("micros"), F.sum("timed")) / F.lit(1e6)).alias("avg_execution_seconds"),
     )
 
 
 def tool_file_types(usage: DataFrame) -> DataFrame:
+    files = usage.where(F.col("is_file_operation") & F.col("file_type_category").isNotNull())
+    return file_types_of_cells(files.groupBy("tool_name", "file_type_category").agg(F.count(F.lit(1)).alias("n")))
+
+
+def file_types_of_cells(cells: DataFrame) -> DataFrame:
     return (
-        usage.where(F.col("is_file_operation") & F.col("file_type_category").isNotNull())
-        .groupBy("tool_name", "file_type_category")
-        .agg(F.count(F.lit(1)).alias("n"))
+        cells.groupBy("tool_name", "file_type_category")
+        .agg(F.sum("n").alias("n"))
         .groupBy("tool_name")
         .agg(
             most_frequent("file_type_category", "n").alias("primary_file_type"),
@@ -203,6 +208,10 @@ def tool_file_types(usage: DataFrame) -> DataFrame:
 
 
 def dim_tools(categories: DataFrame, usage: DataFrame) -> DataFrame:
+    return tools_with_use(categories, tool_statistics(usage), tool_file_types(usage))
+
+
+def tools_with_use(categories: DataFrame, statistics: DataFrame, file_types: DataFrame) -> DataFrame:
     """One row per tool of the category table, used or not."""
     category = F.col("tool_category")
     calls = x.zero(F.col("total_calls"))
@@ -210,8 +219,8 @@ def dim_tools(categories: DataFrame, usage: DataFrame) -> DataFrame:
     # The category table is the left side of both joins, so all results stay that small.
     flags = ["file", "shell", "search", "agent", "planning", "network", "interaction"]
     return (
-        categories.join(tool_statistics(usage), "tool_name", "left")
-        .join(tool_file_types(usage), "tool_name", "left")
+        categories.join(statistics, "tool_name", "left")
+        .join(file_types, "tool_name", "left")
         .select(
             F.md5("tool_name").alias("tool_key"),
             "tool_name",

@@ -13,9 +13,11 @@ from tracemill.functions.expressions import null_safe_key
 from tracemill.operators import merge
 from tracemill.operators.flatten import flatten_documents
 from tracemill.plans import checks
+from tracemill.plans.delta import STATES, DeltaState
 from tracemill.plans.catalog import LONG_TEXTS, MODELS, Lineage, Options, ancestors
 from tracemill.schemas import BRONZE
 from tracemill.sources import documents, tables
+from tracemill.sources.snapshots import SnapshotTable, table_there
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,7 @@ class Job:
     skip_checks: bool = False
     fail_on_checks: bool = False  # raise if a declared check or a suite fails
     select: str | None = None  # a model, built with everything it reads
+    delta: bool = True  # keep state up to date by the sessions that changed; otherwise late days are recomputed
     python_json: bool = True
     options: Options = field(default_factory=Options)
 
@@ -54,31 +57,55 @@ class Job:
 
 
 def extract(spark: SparkSession, job: Job) -> dict:
-    """Flatten what was delivered since the last run, or everything."""
+    """Flatten what was delivered since the last run, or everything.
+
+    Documents of the instant that the last run reached are looked at again, as more of them may have come;
+    rows that were appended then are left out, and a run that finds nothing new appends nothing.
+    """
     mark = None if job.full_backfill else tables.high_water_mark(spark, job.flattened)
     docs = documents.since(documents.read_landing(spark, job.landing), mark)
     now = datetime.datetime.now(datetime.timezone.utc)
     rows = flatten_documents(docs, F.lit(now), job.python_json)
-    return tables.append(rows, job.flattened, "backfill" if mark is None else "append")
+    if mark is None:
+        return tables.append(rows, job.flattened, "backfill")
+    rows = unseen(rows, tables.rows_at(spark, job.flattened, mark))
+    if rows.isEmpty():
+        return {"version": tables.current_version(spark, job.flattened), "added_records": 0, "high_water_mark": mark}
+    return tables.append(rows, job.flattened, "append")
+
+
+def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows without an equal one in ``seen``, whenever it was extracted."""
+    own = lambda df: df.withColumn("_row", F.xxhash64(*[c for c in rows.columns if c != "extracted_at"]))
+    return own(rows).join(own(seen).select("_id", "_row"), ["_id", "_row"], "left_anti").select(*rows.columns)
+
+
+LATEST = ("extracted_at", "ingested_at")
+
+
+def bronze_table(spark: SparkSession, job: Job) -> SnapshotTable:
+    """Bronze: the latest version of each row, in versions that readers can hold on to."""
+    return SnapshotTable(spark, job.bronze, BRONZE, "date", ("project_id", "timestamp"), ("session_id",), "ingested_at")
 
 
 def load(spark: SparkSession, job: Job) -> dict:
     """Bring bronze up to date with the newest append, or rebuild it from all appends.
 
-    The newest version is looked up once: an append that comes meanwhile belongs to the next load.
+    The newest version is looked up once: an append that comes meanwhile belongs to the next load. Either way
+    the change is one new version of bronze, and an append without rows makes none.
     """
-    version = tables.current_version(spark, job.flattened)
-    if job.full_refresh or not merge.table_exists(spark, job.bronze):
+    version, bronze = tables.current_version(spark, job.flattened), bronze_table(spark, job)
+    if job.full_refresh or not bronze.exists():
         everything = merge.latest_per_id(tables.snapshot(spark, job.flattened, version))
-        merge.write_days(everything, job.bronze, "date", whole=True)
-        spark.catalog.refreshByPath(job.bronze)
-        stats = {"rebuilt": True}
+        stats = {"rebuilt": True, "bronze_version": bronze.overwrite(everything, "rebuild")["version"]}
     else:
-        loaded = _loaded_version(spark, job)
-        fresh = tables.snapshot_since(spark, job.flattened, loaded, version)
-        stats = merge.upsert(spark, job.bronze, fresh, job.staging("bronze"))
+        fresh = tables.snapshot_since(spark, job.flattened, _loaded_version(spark, job), version)
+        stats = {"rebuilt": False, "bronze_version": bronze.current()}
+        if not fresh.isEmpty():
+            made = bronze.upsert(fresh, "_id", LATEST)
+            stats |= {"bronze_version": made["version"], "rewritten_files": made["removed_files"]}
     _remember_version(spark, job, version)
-    return {**stats, "version": version, "rows": read_bronze(spark, job).count()}
+    return {**stats, "version": version, "rows": bronze.describe().first()["rows"]}
 
 
 def _loaded_version(spark: SparkSession, job: Job) -> int:
@@ -93,6 +120,9 @@ def _remember_version(spark: SparkSession, job: Job, version: int) -> None:
 
 
 def read_bronze(spark: SparkSession, job: Job) -> DataFrame:
+    """The current version; a plain folder of day partitions is read as it is."""
+    if table_there(spark, job.bronze):
+        return bronze_table(spark, job).read()
     return spark.read.schema(BRONZE).parquet(job.bronze)
 
 
@@ -104,30 +134,63 @@ def touched_sessions(rows: DataFrame, since: datetime.date) -> DataFrame:
     return rows.withColumn("_session", key).join(recent, "_session", "left_semi").drop("_session")
 
 
+def fact_table(spark: SparkSession, job: Job, name: str, rows: DataFrame) -> SnapshotTable:
+    return SnapshotTable(spark, job.model(name), rows.schema, "date_key", ("project_id", "effective_timestamp"), ("session_id",))
+
+
 def _has_rows(spark: SparkSession, path: str) -> bool:
-    """A day-partitioned table without rows has no day folders, hence no readable schema."""
-    return merge.table_exists(spark, f"{path}/date_key=*")
+    """Whether a fact was stored with rows."""
+    return table_there(spark, path) and SnapshotTable.open(spark, path).describe().first()["rows"] > 0
 
 
 def _write_incremental(spark: SparkSession, job: Job, name: str, models: Lineage) -> tuple[str, DataFrame]:
-    """Rebuild the fact, or recompute its late window and replace those rows by key."""
+    """Rebuild the fact, or recompute its late window and replace those rows by key; one new version."""
     path, key = job.model(name), MODELS[name].key
     if job.full_refresh or not _has_rows(spark, path):
-        rows = models[name]
-        merge.write_days(rows, path, "date_key", whole=True)
-        return "rebuilt", rows
-    # One scalar, so that the day filter is a constant and prunes folders.
-    newest = spark.read.schema("date_key date").parquet(path).agg(F.max("date_key")).first()[0]
-    since = newest - datetime.timedelta(days=1)
+        table = fact_table(spark, job, name, models[name])
+        table.overwrite(models[name], "rebuild")
+        return "rebuilt", table.read()
+    # The newest day is in the list of files. As a constant it prunes folders.
+    table = SnapshotTable.open(spark, path)
+    since = table.files().agg(F.max("date_key")).first()[0] - datetime.timedelta(days=1)
     recent = Lineage(models.bronze, models.options, dict(models.stored))
     recent.stored["message_features"] = touched_sessions(models["message_features"], since)
     rows, staged = recent[name], job.staging(name)
     rows.where(F.col("partition_date") >= F.lit(since)).write.mode("overwrite").parquet(staged)
-    merge.replace_by_key(spark, path, spark.read.parquet(staged), key, "date_key")
-    return f"merged since {since}", rows
+    table.merge(spark.read.schema(rows.schema).parquet(staged), key)
+    return f"merged since {since}", table.read()
+
+
+def delta_state(spark: SparkSession, job: Job) -> DeltaState:
+    return DeltaState(spark, bronze_table(spark, job), f"{job.root}/state", f"{job.root}/models", f"{job.root}/staging", job.options)
+
+
+def _transform_by_deltas(spark: SparkSession, job: Job) -> dict:
+    """Bring the state tables up to date, then write the models that add them up."""
+    start, state = time.time(), delta_state(spark, job)
+    report = state.rebuild() if job.full_refresh else state.refresh()
+    done = {name: {"result": report["result"]} for name, s in STATES.items() if s.user_model}
+    done["state"] = {**report, "seconds": round(time.time() - start, 2)}
+    models = state.models()
+    for name, model in MODELS.items():
+        if model.kind == "table" and name not in STATES:
+            start = time.time()
+            rows = models[name]
+            rows.write.mode("overwrite").parquet(job.model(name))
+            spark.catalog.refreshByPath(job.model(name))
+            models.stored[name] = spark.read.schema(rows.schema).parquet(job.model(name))
+            done[name] = {"result": "added up", "seconds": round(time.time() - start, 2)}
+    return done
 
 
 def transform(spark: SparkSession, job: Job) -> dict:
+    """Write the stored models: by deltas, or, for a selection or without `delta`, from bronze."""
+    if job.delta and not job.select:
+        return _transform_by_deltas(spark, job)
+    return _transform_in_order(spark, job)
+
+
+def _transform_in_order(spark: SparkSession, job: Job) -> dict:
     """Write the stored models in order. Each is read back by the models after it, so the
     text of the messages is scanned once per run."""
     models = Lineage(read_bronze(spark, job), job.options)
@@ -140,12 +203,12 @@ def transform(spark: SparkSession, job: Job) -> dict:
         start = time.time()
         path = job.staging(name) if model.kind == "shared" else job.model(name)
         if model.kind == "incremental":
-            note, rows = _write_incremental(spark, job, name, models)
+            note, models.stored[name] = _write_incremental(spark, job, name, models)
         else:
             note, rows = "rebuilt", models[name].drop(*LONG_TEXTS)
             rows.write.mode("overwrite").parquet(path)
-        spark.catalog.refreshByPath(path)
-        models.stored[name] = spark.read.schema(rows.schema).parquet(path)
+            spark.catalog.refreshByPath(path)
+            models.stored[name] = spark.read.schema(rows.schema).parquet(path)
         done[name] = {"result": note, "seconds": round(time.time() - start, 2)}
     return done
 
@@ -182,7 +245,8 @@ def stored_models(spark: SparkSession, job: Job) -> Lineage:
     stored = {}
     for name, model in MODELS.items():
         path = job.model(name)
-        there = {"table": merge.table_exists, "incremental": _has_rows}.get(model.kind)
-        if there and there(spark, path):
+        if model.kind in ("table", "incremental") and table_there(spark, path):
+            stored[name] = SnapshotTable.open(spark, path).read()
+        elif model.kind == "table" and merge.table_exists(spark, path):
             stored[name] = spark.read.parquet(path)
     return Lineage(read_bronze(spark, job), job.options, stored)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions import expressions as x
+from tracemill import stored_queries
 from tracemill.operators import flatten, merge, quality, search
 from tracemill.operators.search import LogFilter
 from tracemill.plans import aggregates, checks, dashboards, kpis, silver, staging
@@ -285,6 +286,15 @@ CHECK_QUERIES: dict[str, Query] = {
     ),
 }
 
+# Stored tables: written, changed and read back below the shared scratch folder.
+STORED_QUERIES: dict[str, Query] = {
+    "search_index": lambda spark, sf_dir: comparable(stored_queries.search_index(spark, sf_dir)),
+    "table_versions": lambda spark, sf_dir: comparable(stored_queries.table_versions(spark, sf_dir)),
+    "landing_inserts": lambda spark, sf_dir: comparable(stored_queries.landing_inserts(spark, sf_dir)),
+    "delta_tool_efficiency": lambda spark, sf_dir: comparable(stored_queries.delta_tool_efficiency(spark, sf_dir)),
+}
+
+
 def in_utc(query: Query) -> Query:
     """All timestamps of the models are UTC, whatever the session was set to."""
 
@@ -304,5 +314,6 @@ GROUPS = [
     DATA_QUERIES,
     KPI_QUERIES,
     CHECK_QUERIES,
+    STORED_QUERIES,
 ]
 QUERIES: dict[str, Query] = {name: in_utc(query) for group in GROUPS for name, query in group.items()}

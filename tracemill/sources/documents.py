@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions import rules
-from tracemill.operators.merge import table_exists
+from tracemill.operators.merge import insert_new, table_exists
 from tracemill.schemas import DOCUMENT
 from tracemill.sources.session_log import SessionLogSource
+from tracemill.sources.snapshots import SnapshotTable
 
 RETENTION_DAYS = 7
 ENTRY = "_id string, type string, sessionId string, timestamp string"
@@ -81,6 +83,53 @@ def write_landing(docs: DataFrame, path: str, batch: int, stream: str = "manual"
     docs.sortWithinPartitions("projectId", "timestamp").write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={batch}")
 
 
+KEYS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("bucket", T.IntegerType())])
+KEY_BUCKETS = 64
+#: Up to so many ids of a delivery are looked up by their Bloom filters; more are joined.
+LOOKED_UP = 1000
+
+
+def landing_keys(spark: SparkSession, path: str) -> SnapshotTable:
+    """Ids of all delivered documents, beside the landing table: bucketed, sorted, with Bloom filters."""
+    return SnapshotTable(spark, f"{path.rstrip('/')}_keys", KEYS, "bucket", ("_id",), ("_id",), bloom=("_id",))
+
+
+def _with_bucket(ids: DataFrame) -> DataFrame:
+    return ids.select("_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(KEY_BUCKETS)).cast("int"))
+
+
+def _known(keys: SnapshotTable, incoming: DataFrame) -> DataFrame:
+    """Those of the incoming ids that were delivered before. Buckets, file bounds and, for small
+    deliveries, Bloom filters keep most of the key table unread; for large ones both sides are joined by bucket and id."""
+    by_bucket = incoming.groupBy("bucket").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count("*").alias("n"))
+    bounds = by_bucket.collect()  # a row per bucket
+    if not bounds:
+        return incoming.select("_id")
+    near = [(F.col("bucket") == r["bucket"]) & (F.col("_id_min") <= r["most"]) & (F.col("_id_max") >= r["least"]) for r in bounds]
+    stored = keys.read(where=reduce(lambda a, b: a | b, near))
+    if sum(r["n"] for r in bounds) <= LOOKED_UP:
+        return stored.where(F.col("_id").isin([r["_id"] for r in incoming.collect()])).select("_id")
+    return stored.join(incoming, ["bucket", "_id"], "left_semi").select("_id")
+
+
+def insert_landing(docs: DataFrame, path: str, batch: int, stream: str = "manual") -> bool:
+    """Deliver the documents whose id the landing table does not have; of several with one id the latest.
+
+    A delivery is published by its ids: one that died before is made again, one that is repeated after
+    does nothing (False). So a file read again, by another stream too, adds no row.
+    """
+    spark, tag = docs.sparkSession, f"{stream}/{batch}"
+    keys = landing_keys(spark, path)
+    if keys.has_tag(tag):
+        return False
+    incoming = _with_bucket(docs)
+    fresh = insert_new(_known(keys, incoming), docs, "_id", ("timestamp", "ingestedAt"))
+    write_landing(fresh, path, batch, stream)
+    written = spark.read.schema(DOCUMENT).parquet(f"{path}/stream={stream}/batch={batch}")
+    keys.append(_with_bucket(written), tag=tag)
+    return True
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     if not table_exists(spark, path):
         return spark.createDataFrame([], DOCUMENT).withColumns({"stream": F.lit(""), "batch": F.lit(0)})

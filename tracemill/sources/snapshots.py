@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,8 @@ class Conflict(Exception):
 @dataclass(frozen=True)
 class SnapshotTable:
     """A table below ``path``. ``partition`` is a date or integer column; files are sorted by ``order`` and
-    listed with the bounds of ``zones``. ``mark`` is a timestamp column whose maximum each version keeps."""
+    listed with the bounds of ``zones``. ``mark`` is a timestamp column whose maximum each version keeps. Files carry
+    Bloom filters of the columns ``bloom``, by which equality filters skip row groups."""
 
     spark: SparkSession
     path: str
@@ -42,6 +43,7 @@ class SnapshotTable:
     zones: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
     mark: str | None = None
+    bloom: tuple[str, ...] = ()
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> SnapshotTable:
@@ -51,7 +53,7 @@ class SnapshotTable:
         if not found:
             raise ValueError(f"no table at {path}")
         t = found[0]["table"]
-        return SnapshotTable(spark, path, T.StructType.fromJson(t["schema"]), t["partition"], tuple(t["zones"]), tuple(t["order"]), t["mark"])
+        return SnapshotTable(spark, path, T.StructType.fromJson(t["schema"]), t["partition"], tuple(t["zones"]), tuple(t["order"]), t["mark"], tuple(t["bloom"]))
 
     # The log
 
@@ -73,11 +75,14 @@ class SnapshotTable:
         return max(self.versions(), default=0)
 
     def _records(self, versions: Iterable[int]) -> list[dict]:
-        wanted = [f"{self.path}/log/{v:012d}.json" for v in versions]
-        if not wanted:
-            return []
-        lines = self.spark.read.text(wanted).collect()
-        return sorted((json.loads(r["value"]) for r in lines), key=lambda r: r["version"])
+        """Log records; small files, which the driver reads itself."""
+        jvm, fs = self._fs()
+        found = []
+        for v in versions:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{v:012d}.json"))
+            found.append(json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+        return found
 
     def _publish(self, record: dict) -> None:
         """One rename, which fails if the version is there already."""
@@ -125,7 +130,7 @@ class SnapshotTable:
         return datetime.datetime.fromisoformat(last[0]["high_water_mark"]) if last and last[0]["high_water_mark"] else None
 
     def has_tag(self, tag: str) -> bool:
-        return self.history().where(F.col("tag") == tag).limit(1).count() > 0
+        return any(r["tag"] == tag for r in self._records(self.versions()))
 
     # Lists of files
 
@@ -169,7 +174,7 @@ class SnapshotTable:
 
     def _load(self, files: list[str]) -> DataFrame:
         if not files:
-            return self.spark.createDataFrame([], self._layout())
+            return self.spark.createDataFrame([], self._layout()).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
         reader = self.spark.read.schema(self._layout()).option("basePath", f"{self.path}/data")
         return reader.parquet(*[f"{self.path}/data/{f}" for f in files])
 
@@ -179,7 +184,7 @@ class SnapshotTable:
 
     def _names(self, version: int | None = None, where: Column | None = None) -> list[str]:
         listed = self.files(version) if where is None else self.files(version).where(where)
-        return [r["file"] for r in listed.select("file").orderBy("file").collect()]
+        return sorted(r["file"] for r in listed.select("file").collect())
 
     @staticmethod
     def _file() -> Column:
@@ -187,42 +192,48 @@ class SnapshotTable:
 
     # Changes
 
-    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+    def _write(self, rows: DataFrame, seen: Observation) -> DataFrame:
         """New files, spread so that a large partition is split and a small one is one file; their list entries."""
-        commit = uuid.uuid4().hex
-        folder = f"{self.path}/data/commit={commit}"
+        folder = f"{self.path}/data/commit={uuid.uuid4().hex}"
         spread = rows.select(*self.schema.fieldNames()).hint("rebalance", self.partition)
-        spread.sortWithinPartitions(self.partition, *self.order).write.partitionBy(self.partition).parquet(folder)
+        newest = F.max(self.mark) if self.mark else F.lit(None).cast("timestamp")
+        sorted_rows = spread.sortWithinPartitions(self.partition, *self.order).observe(seen, F.count(F.lit(1)).alias("rows"), newest.alias("mark"))
+        writer = sorted_rows.write.partitionBy(self.partition)
+        for column in self.bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(folder)
         made = self.spark.read.schema(self._layout()).option("basePath", f"{self.path}/data").parquet(folder)
         bounds = [f(z).alias(f"{z}_{end}") for z in self.zones for f, end in ((F.min, "min"), (F.max, "max"))]
         listed = made.groupBy(self._file().alias("file"), self.partition).agg(F.count(F.lit(1)).alias("rows"), *bounds)
-        return folder, listed.select("file", F.lit(False).alias("removed"), self.partition, "rows", *[c for c in listed.columns if c not in ("file", self.partition, "rows")])
+        return listed.withColumn("removed", F.lit(False)).select(*self._entry_schema().fieldNames())
 
     def _commit(self, base: int, rows: DataFrame | None, removed: list[str], operation: str, tag: str | None) -> dict:
         schema = self._entry_schema()
-        gone = self.spark.createDataFrame([(f, True) + (None,) * (len(schema) - 2) for f in removed], schema)
-        entries, name, mark = gone, uuid.uuid4().hex, self.high_water_mark()
+        entries = self.spark.createDataFrame([(f, True) + (None,) * (len(schema) - 2) for f in removed], schema)
+        name, mark, seen, listed = uuid.uuid4().hex, self.high_water_mark(), Observation(), Observation()
         if rows is not None:
-            folder, added = self._write(rows)
-            entries = gone.unionByName(added)
-            if self.mark:
-                fresh = self.spark.read.schema(self.schema).parquet(folder).agg(F.max(self.mark)).first()[0]
-                fresh = fresh.astimezone(datetime.timezone.utc) if fresh else None
-                mark = max((m for m in (mark, fresh) if m), default=None)
-        entries.coalesce(1).write.parquet(f"{self.path}/entries/{name}")
-        stored = self.spark.read.schema(schema).parquet(f"{self.path}/entries/{name}").where("!removed").agg(F.count("*"), F.sum("rows")).first()
+            added = self._write(rows, seen)
+            entries = entries.unionByName(added) if removed else added
+            fresh = seen.get["mark"]
+            mark = max((m for m in (mark, fresh.astimezone(datetime.timezone.utc) if fresh else None) if m), default=None)
+        kept = ~F.col("removed")
+        counted = entries.coalesce(1).observe(listed, F.count_if(kept).alias("files"), F.sum(F.when(kept, F.col("rows"))).alias("rows"))
+        counted.write.parquet(f"{self.path}/entries/{name}")
         record = {
             "version": base + 1,
             "at": datetime.datetime.now(datetime.timezone.utc).isoformat(),
             "operation": operation,
             "tag": tag,
             "entries": name,
-            "added_files": stored[0],
-            "added_rows": stored[1] or 0,
+            "added_files": listed.get["files"],
+            "added_rows": listed.get["rows"] or 0,
             "removed_files": len(removed),
             "high_water_mark": mark.isoformat() if mark else None,
-            "table": {"schema": self.schema.jsonValue(), "partition": self.partition, "zones": self.zones, "order": self.order, "mark": self.mark},
-        }
+            "table": {
+                "schema": self.schema.jsonValue(), "partition": self.partition, "zones": self.zones, "order": self.order,
+                "mark": self.mark, "bloom": self.bloom,
+            },
+        }
         self._publish(record)
         if record["version"] % CHECKPOINT_EVERY == 0:
             self.checkpoint(record["version"])
@@ -245,14 +256,20 @@ class SnapshotTable:
         gone = self._names(base, F.col(self.partition).isin(list(values)))
         return self._commit(base, rows, gone, operation, tag)
 
-    def changed_partitions(self, since: int) -> list:
-        """Partitions whose files differ between a version and the current one."""
-        old, new = (self.files(v).select("file", self.partition) for v in (since, None)) if since else (None, self.files().select("file", self.partition))
-        if old is None:
-            return [r[0] for r in new.select(self.partition).distinct().collect()]
-        both = old.select("file").intersect(new.select("file"))
-        differ = old.unionByName(new).join(both, "file", "left_anti")
-        return [r[0] for r in differ.select(self.partition).distinct().collect()]
+    def replace_keys(self, keys: DataFrame, key: Column, rows: DataFrame, where: Column | None = None, operation: str = "replace keys") -> dict:
+        """Put ``rows`` in place of all rows whose ``key`` expression is in ``keys``, a stored table of one column.
+        With ``where``, a bound on partitions and zones within which those rows lie, other files are not opened."""
+        base, name = self.current(), keys.columns[0]
+        placed = self._load(self._names(base, where)).select(key.alias(name), self._file().alias("file"))
+        touched = [r["file"] for r in placed.join(keys, name, "left_semi").select("file").distinct().collect()]
+        kept = self._load(touched).withColumn(name, key).join(keys, name, "left_anti").select(*self.schema.fieldNames())
+        return self._commit(base, kept.unionByName(rows.select(*self.schema.fieldNames())), touched, operation, None)
+
+    def difference(self, since: int) -> tuple[DataFrame, DataFrame]:
+        """Rows of the files that are gone since a version, and of those that are new. Only these are read;
+        rows that a rewritten file carried over are in both."""
+        old, new = set(self._names(since)), set(self._names())
+        return tuple(self._load(sorted(names)).select(*self.schema.fieldNames()) for names in (old - new, new - old))
 
     def _holding(self, version: int, keys: DataFrame, key: str) -> list[str]:
         """Files with rows of the keys; two narrow columns of the table are read."""
@@ -320,10 +337,10 @@ class SnapshotTable:
         for v in self._checkpoints():
             if v < oldest:
                 remove_folder(self.spark, f"{self.path}/checkpoints/version={v}")
-        return {"oldest": oldest, "deleted_files": len(gone), "unpublished": self._drop_unpublished(unpublished_hours)}
+        return {"oldest": oldest, "deleted_files": len(gone), "dropped_folders": self._drop_unlisted(unpublished_hours)}
 
-    def _drop_unpublished(self, hours: float) -> int:
-        """Folders of changes that no list names."""
+    def _drop_unlisted(self, hours: float) -> int:
+        """Folders of which no list names a file: of changes that died, and emptied ones."""
         jvm, fs = self._fs()
         now = datetime.datetime.now().timestamp()
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/commit=*")) or []

@@ -65,6 +65,12 @@ def snapshot_since(spark: SparkSession, path: str, version: int, until: int) ->
     return spark.read.schema(LAYOUT).parquet(f"{path}/data").where(fresh).drop("version")
 
 
+def rows_at(spark: SparkSession, path: str, mark: datetime.datetime) -> DataFrame:
+    """Logged rows delivered at the mark, from the versions that reached it; the others are not read."""
+    reached = commits(spark, path).where(F.col("high_water_mark") >= F.lit(mark)).agg(F.min("version"), F.max("version")).first()
+    return snapshot_since(spark, path, reached[0] - 1, reached[1]).where(F.col("ingested_at") >= F.lit(mark))
+
+
 def history(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """The latest appends."""
     return commits(spark, path).orderBy(F.desc("version")).limit(limit)

@@ -13,16 +13,18 @@ from tracemill.sources import documents
 from tracemill.sources.session_log import Positions
 
 
-def deliver(dead_letters: str, landing: str, stream: str):
+def deliver(dead_letters: str, landing: str, stream: str, only_new: bool = False):
     """Batch writer: documents to their batch folder, malformed lines to the dead letters.
 
     The checkpoint fixes which bytes a batch holds, and the batch number names the folder,
-    so a batch that runs twice leaves the documents once.
+    so a batch that runs twice leaves the documents once. With `only_new`, documents whose id
+    any stream has delivered before are left out.
     """
+    put = documents.insert_landing if only_new else documents.write_landing
 
     def write(lines: DataFrame, batch: int) -> None:
         now = F.current_timestamp()
-        documents.write_landing(documents.to_documents(lines, now), landing, batch, stream)
+        put(documents.to_documents(lines, now), landing, batch, stream)
         bad = documents.malformed(lines)
         write_dead_letters(bad, f"{dead_letters}/stream={stream}/batch={batch}", F.to_date(now), "malformed line", "overwrite")
 
@@ -36,16 +38,18 @@ def start_tail(
     checkpoint: str,
     dead_letters: str,
     interval: str | None = "5 seconds",
+    only_new: bool = True,
     **options: str,
 ) -> StreamingQuery:
     """Follow the logs. Without an interval: read one batch of what is there and stop.
+    Files that are read again, say after the checkpoint was lost, add no document twice.
 
     The positions reached are stored beside the checkpoint; the two belong together.
     """
     positions = documents.qualified(spark, f"{checkpoint.rstrip('/')}_positions")
     writer = (
         documents.stream_log(spark, logs, positions, **options)
-        .writeStream.foreachBatch(deliver(dead_letters, landing, Positions(positions).stream_id()))
+        .writeStream.foreachBatch(deliver(dead_letters, landing, Positions(positions).stream_id(), only_new))
         .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
