@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.logs import sql
+from oracle.logs import ALL
 from oracle.models import quoted, with_blocks
 
 # Inflection rules of the Porter2 stemmer and its rule for a final e.
@@ -89,17 +89,25 @@ SELECT _id, role AS type, 'conv' || conv_id AS "sessionId", 'p' || conv_id % 5 A
 FROM hashed
 """
 
+#: Conversations as flattened rows in place of the events.
+FLATTENED = {**ALL, "bronze": "SELECT * FROM flat_compact"}
+
+
+def over_flattened(select: str) -> str:
+    return with_blocks(select, FLATTENED)
+
+
 COLUMNS = "_id, type, session_id, date, message_content"
 MERGED = f"SELECT {COLUMNS} FROM again UNION ALL SELECT {COLUMNS} FROM bronze WHERE type IS DISTINCT FROM 'tool_use'"
 
 STORED_ORACLE: dict[str, str] = {
     "search_index": SEARCH,
-    "table_versions": sql(
+    "table_versions": over_flattened(
         f"""SELECT 1::BIGINT AS version, {COLUMNS} FROM bronze
             UNION ALL SELECT 2, * FROM ({MERGED})
             UNION ALL SELECT 3, * FROM ({MERGED}) WHERE type IS DISTINCT FROM 'tool_result'
             UNION ALL SELECT 4, * FROM ({MERGED}) WHERE type IS DISTINCT FROM 'tool_result'"""
     ),
     "landing_inserts": LANDING,
-    "delta_tool_efficiency": with_blocks("SELECT * FROM efficiency"),
+    "delta_tool_efficiency": over_flattened("SELECT * FROM efficiency"),
 }

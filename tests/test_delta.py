@@ -60,13 +60,13 @@ def test_a_refresh_that_dies_is_made_again(spark, sf_dir, state, monkeypatch):
     state.bronze.upsert(rows.where(F.col("date") >= "2024-01-29"), "_id", LATEST)
     done = []
 
-    def some(write):
+    def some(self, write):
         for name in list(STATES)[:4]:
             write(name)
             done.append(name)
         raise RuntimeError("died")
 
-    monkeypatch.setattr(DeltaState, "_each", staticmethod(some))
+    monkeypatch.setattr(DeltaState, "_each", some)
     with pytest.raises(RuntimeError):
         state.refresh()
     monkeypatch.undo()

@@ -145,28 +145,31 @@ def daily_file_operations(cells: DataFrame) -> DataFrame:
 
 
 def aggregate_models(models: Lineage, cells: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The models that add up cells; ``models`` holds the session models and the activity rollup."""
-    fanout, sessions = models["session_fanout"], models["dim_sessions"]
-    messages, usage = cells["message_cells"], cells["usage_cells"]
-    file_sums = ["n", "reads", "writes", "edits", "length"]
-    messages2 = _repeated(messages, fanout, ["n", "length", "measured", "user", "assistant", "code", "questions"])
-    usage2 = _repeated(usage, fanout, ["n", "invocations", "results", "micros", "timed", "file", "search", "shell"])
-    durations2 = _repeated(cells["duration_counts"], fanout, ["n"])
-    files2 = _repeated(cells["file_cells"], fanout, file_sums)
-    statistics = dimensions.tool_statistics_of_cells(usage)
-    file_types = dimensions.file_types_of_cells(cells["file_cells"].where(F.col("file_type_category").isNotNull()))
-    tools = dimensions.tools_with_use(models["tool_categories"], statistics, file_types)
-    return {
-        "dim_tools": tools,
-        "agg_tool_efficiency": aggregates.tool_efficiency(usage2, durations2, tools),
-        "agg_code_changes": aggregates.code_changes(files2),
-        "agg_daily_summary": aggregates.daily_summary(
-            models["dim_date"], aggregates.daily_sessions(sessions), daily_messages(messages2), daily_tools(usage2), daily_file_operations(files2)
-        ),
-        "agg_hourly_activity": aggregates.hourly_activity(
-            aggregates.hourly_message_cells(messages), aggregates.hourly_tool_cells(usage2), aggregates.session_starts(sessions)
-        ),
-    }
+    """The models that add up cells, as far as the cells at hand allow; ``models`` holds the session models
+    and the activity rollup."""
+    fanout, out = models["session_fanout"], {}
+    usage2 = files2 = messages2 = None
+    if "usage_cells" in cells:
+        usage2 = _repeated(cells["usage_cells"], fanout, ["n", "invocations", "results", "micros", "timed", "file", "search", "shell"])
+    if "file_cells" in cells:
+        files2 = _repeated(cells["file_cells"], fanout, ["n", "reads", "writes", "edits", "length"])
+        out["agg_code_changes"] = aggregates.code_changes(files2)
+    if usage2 is not None and files2 is not None:
+        statistics = dimensions.tool_statistics_of_cells(cells["usage_cells"])
+        file_types = dimensions.file_types_of_cells(cells["file_cells"].where(F.col("file_type_category").isNotNull()))
+        out["dim_tools"] = dimensions.tools_with_use(models["tool_categories"], statistics, file_types)
+        if "duration_counts" in cells:
+            durations2 = _repeated(cells["duration_counts"], fanout, ["n"])
+            out["agg_tool_efficiency"] = aggregates.tool_efficiency(usage2, durations2, out["dim_tools"])
+    if "message_cells" in cells:
+        messages2 = _repeated(cells["message_cells"], fanout, ["n", "length", "measured", "user", "assistant", "code", "questions"])
+    if usage2 is not None and files2 is not None and messages2 is not None and "dim_sessions" in models.stored:
+        sessions = models["dim_sessions"]
+        daily = (aggregates.daily_sessions(sessions), daily_messages(messages2), daily_tools(usage2), daily_file_operations(files2))
+        out["agg_daily_summary"] = aggregates.daily_summary(models["dim_date"], *daily)
+        hourly = (aggregates.hourly_message_cells(cells["message_cells"]), aggregates.hourly_tool_cells(usage2), aggregates.session_starts(sessions))
+        out["agg_hourly_activity"] = aggregates.hourly_activity(*hourly)
+    return out
 
 
 @dataclass(frozen=True)
@@ -179,6 +182,7 @@ class DeltaState:
     user_root: str
     staging: str
     options: Options
+    names: tuple[str, ...] = tuple(STATES)  # a choice of them, for jobs that need only some models
 
     def path(self, name: str) -> str:
         return f"{self.user_root if STATES[name].user_model else self.root}/{name}"
@@ -198,23 +202,27 @@ class DeltaState:
     def _remember(self, version: int) -> None:
         self.spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/taken_in")
 
+    def _between(self) -> list[str]:
+        """Models of single rows and ordered rows that the states are built from."""
+        usage = {"fct_tool_calls", "fct_file_operations", "usage_cells", "duration_counts", "file_cells"}
+        messages = {"fct_messages", "dim_sessions", "message_cells"}
+        return [m for m, of in (("message_features", messages), ("int_tool_usage", usage)) if of & set(self.names)]
+
     def _models(self, bronze: DataFrame) -> Lineage:
         """Models of some rows of bronze; what several states read is stored between."""
         models = Lineage(bronze, self.options)
-        for name in ("message_features", "int_tool_usage"):
+        for name in self._between():
             path = f"{self.staging}/{name}"
             rows = models[name].drop("message_content", "message_raw", "tool_content", "raw_parameters")
             rows.write.mode("overwrite").parquet(path)
             models.stored[name] = self.spark.read.schema(rows.schema).parquet(path)
         return models
 
-    @staticmethod
-    def _each(write: Callable[[str], None]) -> None:
-        """All state tables, a few at a time; the activity rollup once the others are done."""
-        *others, last = STATES
-        with ThreadPoolExecutor(4) as pool:
-            list(pool.map(write, others))
-        write(last)
+    def _each(self, write: Callable[[str], None]) -> None:
+        """All state tables, two at a time; the activity rollup once the others are done."""
+        with ThreadPoolExecutor(2) as pool:
+            list(pool.map(write, [n for n in self.names if n != "activity_rollup"]))
+        write("activity_rollup")
 
     def rebuild(self) -> dict:
         """All state from all of bronze."""
@@ -246,7 +254,7 @@ class DeltaState:
         since, version = self.version(), self.bronze.current()
         if since == version:
             return {"result": "nothing new", "bronze_version": version}
-        if not since or since < self.bronze.versions()[0] or not all(table_there(self.spark, self.path(n)) for n in STATES):
+        if not since or since < self.bronze.versions()[0] or not all(table_there(self.spark, self.path(n)) for n in self.names):
             return self.rebuild()
         touched = self._touched(since)
         # Days are few whatever the number of rows.
@@ -268,7 +276,7 @@ class DeltaState:
         """All models, from the state tables."""
         models = Lineage(self.bronze.read(), self.options)
         cells = {}
-        for name, state in STATES.items():
-            (models.stored if state.user_model else cells)[name] = self.read(name)
+        for name in self.names:
+            (models.stored if STATES[name].user_model else cells)[name] = self.read(name)
         models.stored.update(aggregate_models(models, cells))
         return models

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.flatten import flatten_documents
 from tracemill.operators.search import LogFilter
 from tracemill.operators.text_index import TextIndex
-from tracemill.plans.catalog import Lineage, Options
+from tracemill.plans.catalog import Options
 from tracemill.plans.delta import DeltaState
 from tracemill.schemas import BRONZE
 from tracemill.sources import documents, event_log
@@ -18,6 +19,7 @@ from tracemill.sources.scratch import scratch_folder
 from tracemill.sources.snapshots import SnapshotTable
 
 AS_OF = datetime.date(2024, 2, 1)
+EXTRACTED_AT = datetime.datetime(2024, 3, 3, tzinfo=datetime.timezone.utc)
 SEARCHES = ["lead heads -und", '"que la"', '"des la" the -et', "tables thes des -le -lead"]
 LATEST = ("extracted_at", "ingested_at")
 
@@ -48,12 +50,18 @@ def _again(rows: DataFrame) -> DataFrame:
     )
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as log documents, flattened."""
+    docs = event_log.documents_from_conversations(spark, sf_dir)
+    return flatten_documents(docs, F.lit(EXTRACTED_AT), python_json=False)
+
+
 def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written, merged, pruned and compacted; the rows of all four versions, each read as of its number.
 
     The first version's reader is opened before the table changes.
     """
-    rows = event_log.bronze_from_events(spark, sf_dir)
+    rows = _rows(spark, sf_dir)
     table = _bronze(spark, scratch_folder(spark, "table-versions"))
     table.append(rows, tag="first")
     table.append(rows, tag="first")
@@ -65,22 +73,20 @@ def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(F.lit(v).alias("version"), "_id", "type", "session_id", "date", "message_content") for v, p in enumerate(parts, 1)])
 
 
-def delta_models(spark: SparkSession, sf_dir: str) -> Lineage:
-    """Models after a delta of late rows, of older versions that lay in another session, and of new days."""
+def delta_tool_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools from state tables after a delta of late rows, of older versions that lay in another session,
+    and of a new day."""
     folder = scratch_folder(spark, "delta-models")
-    rows, table = event_log.bronze_from_events(spark, sf_dir), _bronze(spark, folder)
-    late, last = F.crc32("_id") % 10 == 0, F.col("date") >= "2024-01-28"
-    state = DeltaState(spark, table, f"{folder}/state", f"{folder}/models", f"{folder}/staging", Options(as_of=AS_OF))
+    rows, table = _rows(spark, sf_dir), _bronze(spark, folder)
+    late, last = F.crc32("_id") % 10 == 0, F.col("date") >= "2024-03-02"
+    names = ("usage_cells", "duration_counts", "file_cells", "activity_rollup")
+    state = DeltaState(spark, table, f"{folder}/state", f"{folder}/models", f"{folder}/staging", Options(as_of=AS_OF), names)
     older = rows.where(late).withColumns({"extracted_at": F.col("extracted_at") - F.expr("INTERVAL 1 DAY"), "session_id": F.lit("moved"), "message_content": F.lit("older")})
     table.overwrite(rows.where(~late & ~last).unionByName(older))
     state.refresh()
     table.upsert(rows.where(late | last), "_id", LATEST)
     state.refresh()
-    return state.models()
-
-
-def delta_tool_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta_models(spark, sf_dir)["agg_tool_efficiency"]
+    return state.models()["agg_tool_efficiency"]
 
 
 def landing_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
