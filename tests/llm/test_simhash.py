@@ -79,7 +79,20 @@ def test_odd_rows(odd, odd_rows, empty):
 def test_keep_one(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 5, 7, 7, 8, 10, 11, 12]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 7, 8, 10, 11, 12]
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    """Different texts of one id are decided apart, copies of a null id leave one row, and null ids carry links."""
+    a, b, c = prose(60, 50), prose(61, 50), prose(62, 300)
+    near = c.rsplit(" ", 2)[0]
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "y"), (None, b, "z"), (None, c, "p"), (None, c, "q"), (None, near, "r"), (3, "three", "u"), (3, "three", "v"), (4, " Three ", "w")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()]
+    assert len(kept) == 4 and {(1, a), (2, b), (3, "three")} <= set(kept)
+    assert [t for i, t in kept if i is None] in ([c], [near])
+    near_three = [(5, near, "s"), *rows]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(near_three, "doc_id bigint, text string, source string")).collect()]
+    assert sorted(kept) == sorted([(1, a), (2, b), (3, "three"), (5, near)])
 
 
 def test_similar_groups_against_brute_force(spark):
@@ -98,7 +111,7 @@ def test_similar_groups_against_brute_force(spark):
     alike = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     missed = [p for p in alike if got[p[0]] != got[p[1]]]
-    assert len(alike) > 50 and len(missed) <= 0.02 * len(alike)
+    assert len(alike) > 50 and not missed
     owner = groups(alike, sorted(sets))
     assert all(owner[i] == owner[got[i]] for i in got)
 

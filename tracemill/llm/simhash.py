@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Scratch, blocks, check_columns, ranges
+from tracemill.llm.common import Scratch, blocks, check_columns, ranges, text_or_empty
 from tracemill.llm.components import components
 
 RADIUS = 2
@@ -105,7 +106,17 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = named.join(smallest, "component").select("fp", "component_id")
     owners = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(owners, "fp").select("doc_id", "fp", "component_id")
+    return _join_salted(prints, owners, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Tasks that the rows of one frequent key are dealt over.
+SALTS = 16
+
+
+def _join_salted(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``owners``, one narrow row per key, repeated for each salt."""
+    salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
 #: Part fingerprints of a level, at most.
@@ -129,17 +140,16 @@ def _keys(hashes: np.ndarray, similarity: float) -> tuple[int, range]:
     return alone, range(level(least), level(most) + 1) if least <= most else range(0)
 
 
-def _sketch(text: bytes, words: int, similarity: float) -> tuple[bytes, int, int, list[dict]]:
-    """Digest of the word sequence, number of distinct shingles, whole fingerprint, and part fingerprints.
+def _sketch(text: bytes, words: int, similarity: float) -> tuple[int, int, list[dict]]:
+    """Number of distinct shingles, whole fingerprint, and part fingerprints.
 
     Single shingles of short texts come as parts of level -1.
     """
     tokens = text.translate(_LOWER).split()
-    digest = xxhash.xxh3_128_digest(b" ".join(tokens))
     repeated = _shingle_hashes(tokens, words)
     hashes = np.unique(repeated)
     if not len(hashes):
-        return digest, 0, 0, []
+        return 0, 0, []
     alone, levels = _keys(hashes, similarity)
     parts = [{"level": -1, "part": 0, "print": f} for f in hashes[:alone].view(np.int64).tolist()]
     for level in levels:
@@ -154,7 +164,7 @@ def _sketch(text: bytes, words: int, similarity: float) -> tuple[bytes, int, int
         size = np.diff(np.append(head, len(order)))[:, None]
         prints = np.packbits(2 * votes > size, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
         parts += [{"level": level, "part": p, "print": f} for p, f in zip(part[order][head].tolist(), prints.tolist(), strict=True)]
-    return digest, len(hashes), _majority(repeated), parts
+    return len(hashes), _majority(repeated), parts
 
 
 def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
@@ -169,7 +179,7 @@ _PART = pa.struct([("level", pa.int32()), ("part", pa.int32()), ("print", pa.int
 TILE = 2048
 
 
-def _spanning(labels: list[bytes], sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def _spanning(labels: list[int], sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that join what is alike among texts of known labels; texts of one label are joined already.
 
     ``flat`` holds the sets one after the other. Texts of the most frequent label are not tried with each other.
@@ -201,7 +211,7 @@ def _spanning(labels: list[bytes], sizes: np.ndarray, flat: np.ndarray, similari
     return links
 
 
-def _rest(rows: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)``: links missing between the components ``parts`` of the texts of one bucket.
 
     Buckets of one component, of up to three texts (all tried) and of the same texts as another are left
@@ -209,38 +219,47 @@ def _rest(rows: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float)
     which returns spanning links only.
     """
     key = ["level", "part", "print"]
-    named = rows.join(parts, rows["content"] == parts["node"], "left").select(*key, "content", F.coalesce("component", "content").alias("label"))
-    buckets = named.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("h"), F.min("label").alias("least"), F.max("label").alias("most"))
+    named = members.join(parts, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("label"))
+    buckets = named.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("label").alias("least"), F.max("label").alias("most"))
     buckets = buckets.where("n > 3 and least != most").groupBy("n", "h").agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    dealt = named.join(buckets, key).withColumn("tile", F.pmod(F.xxhash64("content"), "tiles").cast("int"))
+    dealt = named.join(buckets, key).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("t1"), F.greatest(t, "tile").alias("t2")))
-    dealt = dealt.select(*key, "content", "label", F.explode(pairs).alias("p")).select(F.xxhash64(*key, "p.t1", "p.t2").alias("g"), *key, "p.*", "content", "label")
+    dealt = dealt.select(*key, "node", "label", F.explode(pairs).alias("p")).select(F.xxhash64(*key, "p.t1", "p.t2").alias("g"), *key, "p.*", "node", "label")
     group = ["g", *key, "t1", "t2"]
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(r[2]) for r in held], np.int64)
         found = _spanning([r[1] for r in held], sizes, np.concatenate([r[2] for r in held]), similarity)
-        return pa.record_batch([pa.array([held[e[k]][0] for e in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.record_batch([pa.array([held[e[k]][0] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
             names = list(zip(*(batch.column(i).to_pylist() for i in range(len(group))), strict=True))
-            for k, (g, content, label) in enumerate(zip(names, batch.column(len(group)).to_pylist(), batch.column(len(group) + 1).to_pylist(), strict=True)):
+            for k, (g, node, label) in enumerate(zip(names, batch.column(len(group)).to_pylist(), batch.column(len(group) + 1).to_pylist(), strict=True)):
                 if held and g != now:
                     yield solve(held)
                     held = []
-                held.append((content, label, batch.column(len(group) + 2)[k].values.to_numpy().copy()))
+                held.append((node, label, batch.column(len(group) + 2)[k].values.to_numpy().copy()))
                 now = g
         if held:
             yield solve(held)
 
-    whole = dealt.join(sets, "content").repartition(*group).sortWithinPartitions(*group, "content")
-    return whole.select(*group, "content", "label", "shingles").mapInArrow(run, "a binary, b binary")
+    whole = dealt.join(sets, "node").repartition(*group).sortWithinPartitions(*group, "node")
+    return whole.select(*group, "node", "label", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` for every row, linked at a Jaccard similarity of distinct shingles.
+def _content() -> Column:
+    """128 bits that tell word sequences apart: words with one space between them, A-Z lower-cased."""
+    words = F.regexp_replace(F.translate(text_or_empty(), string.ascii_uppercase, string.ascii_lowercase), r"[ \t\n\x0B\f\r]+", " ")
+    return F.unhex(F.md5(F.trim(words)))
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, content)`` of every row, and the classes of equal content, linked at a Jaccard similarity of distinct shingles.
+
+    A class has ``content``, its smallest id ``first``, its number of ``rows``, and of its component
+    the ``winner``: the smallest id and then content, ids before null.
 
     Whole fingerprints tell texts apart whose similarity is well above 0.8 only, as one bit in seven differs
     there. So pairs of up to ``EXACT`` shingles meet by the smallest hashes, of which they share one for certain, and larger
@@ -249,68 +268,92 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     whole fingerprints within radius 2 by the covering tables, and equal keys; each text of
     a bucket is tried with the first and the last one of it, so buckets cost rows in proportion to their size. Buckets
     that are not one component then are compared whole (``_rest``). Every candidate is
-    checked on the shingle sets themselves. Equal word sequences are one class from the start; texts without
-    words are copies of each other; rows of one doc_id are one document.
+    checked on the shingle sets themselves. Stored between steps, so that each plan is small; classes are numbered
+    when they are stored, and links are pairs of numbers.
     """
     check_columns(docs, "doc_id", "text")
-    scratch = Scratch(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 4 << 20):
-            rows = [_sketch((t.as_py() or "").encode(), words, similarity) for t in batch.column(1)]
-            types = (pa.binary(), pa.int64(), None, pa.list_(_PART))
-            columns = [pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)) if t is None else pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.record_batch([batch.column(0), *columns], ["doc_id", "content", "n", "fp", "parts"])
+            rows = [_sketch((t.as_py() or "").encode(), words, similarity) for t in batch.column(2)]
+            fp = pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64))
+            yield pa.record_batch([*batch.columns[:2], pa.array([r[0] for r in rows], pa.int64()), fp, pa.array([r[2] for r in rows], pa.list_(_PART))], ["doc_id", "content", "n", "fp", "parts"])
 
     schema = f"doc_id {kind}, content binary, n bigint, fp bigint, parts array<struct<level:int,part:int,print:bigint>>"
-    prints = scratch.save(docs.select("doc_id", "text").mapInArrow(sketch, schema))
-    classes = scratch.save(prints.groupBy("content").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parts").alias("parts")))
-    known = classes.where("n > 0")
-    me = F.struct("n", "content")
-    rows = known.select(me.alias("x"), F.inline("parts"))
+    prints = scratch.save(docs.select("doc_id", _content().alias("content"), "text").mapInArrow(sketch, schema))
+    grouped = prints.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parts").alias("parts"))
+    classes = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()))
     key = ["level", "part", "print"]
-    crowded = rows.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low.content != high.content")
-    tried = rows.join(crowded, key).select("x", F.explode(F.array("low", "high")).alias("y"))
-    same = known.groupBy("fp").agg(F.min(me).alias("low"))
-    close = links(same.select("fp")).join(same.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-    equal = known.select("fp", me.alias("x")).join(same, "fp").select("x", F.col("low").alias("y"))
-    tried = tried.unionByName(close).unionByName(equal).where("x.content != y.content")
-    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
-    pairs = scratch.save(tried.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b"), fits.alias("fits")).distinct())
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
-    owners = classes.join(wanted, "content").select("content", F.col("first").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(owners, "doc_id")
+    keys = scratch.save(classes.where("n > 0").select("node", "n", F.inline("parts")))
+    crowded = keys.groupBy(*key).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    members = scratch.save(keys.join(crowded, key))
+    scratch.drop(keys)
+    same = scratch.save(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("low")))
+    near = scratch.save(links(same.select("fp")))
+    close = near.join(same.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
+    equal = classes.where("n > 0").join(same, "fp").select(F.col("node").alias("x"), F.col("low").alias("y"))
+    tried = members.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y")).unionByName(close).unionByName(equal)
+    pairs = scratch.save(tried.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    owners = classes.join(wanted, "node").select(F.col("content").alias("own"), F.col("first").alias("id"), "node")
+    texts = docs.select("doc_id", "text", _content().alias("content"))
+    texts = texts.join(owners, texts["doc_id"].eqNullSafe(owners["id"]) & (texts["content"] == owners["own"]))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 4 << 20):
-            found, keep = [], []
-            for text, content in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                tokens = (text.as_py() or "").encode().translate(_LOWER).split()
-                keep.append(xxhash.xxh3_128_digest(b" ".join(tokens)) == content)
-                found.append(np.unique(_shingle_hashes(tokens, words).astype(np.uint32)).view(np.int32) if keep[-1] else None)
-            yield pa.record_batch([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["content", "shingles"]).filter(pa.array(keep))
-
-    sets = scratch.save(texts.select("text", "content").mapInArrow(shingles, "content binary, shingles array<int>").dropDuplicates(["content"]))
-    left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("p"))
-    right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("q"))
+            split = ((t.as_py() or "").encode().translate(_LOWER).split() for t in batch.column(0))
+            found = [np.unique(_shingle_hashes(tokens, words).astype(np.uint32)).view(np.int32) for tokens in split]
+            yield pa.record_batch([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    sets = scratch.save(texts.select("text", "node").mapInArrow(shingles, "node bigint, shingles array<int>").dropDuplicates(["node"]))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
+    fits = F.least(F.size("p"), F.size("q")) >= similarity * F.greatest(F.size("p"), F.size("q"))
     both = F.size(F.array_intersect("p", "q"))
-    alike = pairs.where("fits").join(left, "a").join(right, "b").where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b")
+    alike = scratch.save(pairs.join(left, "a").join(right, "b").where(fits).where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b"))
     parts = scratch.save(components(alike, scratch))
-    members = rows.join(crowded.select(*key), key).select(*key, "x.content")
     rest = scratch.save(_rest(members, parts, sets, similarity))
-    scratch.drop(pairs, sets)
+    scratch.drop(pairs, sets, members, alike)
     if not rest.isEmpty():
         parts = scratch.save(components(rest.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch))
-    named = classes.select("content", "first").join(parts, F.col("content") == F.col("node")).select("content", "first", "component")
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    owners = classes.select("content", "first").join(named.join(smallest, "component").select("content", "component_id"), "content", "left")
-    owners = owners.select("content", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.select("doc_id", "content").join(owners, "content").select("doc_id", "component_id")
+    slim = classes.select("node", "content", "first", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winners = slim.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "content")).alias("winner"))
+    named = slim.join(winners, "component").select("content", "first", "rows", F.struct("winner.id", "winner.content").alias("winner"))
+    return prints.select("doc_id", "content"), scratch.save(named)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` for every row, by the links of ``_grouped``; component_id is the smallest id of the group.
+
+    Equal word sequences are one class from the start; texts without words are copies of each other. Null ids name a
+    group only if all its ids are null.
+    """
+    prints, named = _grouped(docs, words, similarity, Scratch(docs.sparkSession))
+    return _join_salted(prints, named.select("content", F.col("winner.id").alias("component_id")), "content").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller doc_id. All columns and other rows stay."""
-    gone = similar_groups(docs, words, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
+    """One row of each group of ``docs``: that of the smallest id, ids before null, with its columns as they are.
+
+    Of one id's different texts that are alike the one with the smallest digest stays; other texts under
+    the same id are decided by their own groups. Of rows that share id and text the one with the smallest hash of all columns stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    prints, named = _grouped(docs, words, similarity, scratch)
+    stays = F.col("first").eqNullSafe(F.col("winner.id")) & (F.col("content") == F.col("winner.content"))
+    firsts = named.where(~stays).select(F.col("first").alias("doc_id"), "content")
+    repeated = named.where("rows > 1").select("content", "first")
+    copies = _join_salted(prints, repeated, "content")
+    others = copies.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "content")
+    again = copies.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id", "content").count().where("count > 1").select("doc_id", "content", F.lit(False).alias("gone"))
+    gone = firsts.unionByName(others).distinct().withColumn("gone", F.lit(True))
+    marks = scratch.save(gone.unionByName(again).groupBy(F.col("doc_id").alias("mark_id"), F.col("content").alias("mark")).agg(F.max("gone").alias("gone")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _content().alias("content"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("mark_id")) & (F.col("content") == F.col("mark"))
+    once = rows.join(marks, same, "left_anti").select("row.*")
+    left = marks.where("not gone")
+    if left.isEmpty():
+        return once
+    twice = rows.join(left, same).groupBy("mark_id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return once.unionByName(twice)
