@@ -44,6 +44,8 @@ def test_toxicity_on_odd_rows(spark, odd, empty):
         assert rows.select("row.*").columns == odd.columns and rows.count() == odd.count()
         assert rows.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.scored(empty, toxicity.train(empty, none)).count() == 0
+    absent = spark.createDataFrame([(10**9, 1), (10**9 + 1, 0)], "doc_id bigint, toxic int")
+    assert {round(r["score"], 6) for r in toxicity.scored(odd, toxicity.train(odd, absent)).collect()} == {0.5}
     assert toxicity.without_toxic(odd, none).columns == odd.columns
 
 

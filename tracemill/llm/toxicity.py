@@ -18,7 +18,7 @@ BITS = 20
 MIN_DEVIATION = 4
 #: Labelled texts the classifier is fitted on, per class at most; those with the smallest id hashes.
 SAMPLE_PER_CLASS = 1500
-#: Bytes of sampled texts the driver takes at most, both classes together; longer texts are left out first.
+#: Bytes of sampled texts that the fitting task takes at most, both classes together; longer texts are left out first.
 SAMPLE_BYTES = 12_000_000
 BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 18
@@ -175,8 +175,8 @@ def learnable() -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Model:
     """A model from a bounded sample of labelled texts.
 
-    ``SAMPLE_PER_CLASS`` labelled ids of each class, those with the smallest hash, come to the driver with their
-    whole texts, at most ``SAMPLE_BYTES``. ``rows`` restricts ``labels``. Ids labelled both ways, null ids and null labels are not used;
+    ``SAMPLE_PER_CLASS`` labelled ids of each class, those with the smallest hash, come to one task with their
+    whole texts, at most ``SAMPLE_BYTES``; it fits the model, and only its weights come to the driver. ``rows`` restricts ``labels``. Ids labelled both ways, null ids and null labels are not used;
     of texts that share an id any may be drawn; without labels the score is one half.
     """
     check_columns(docs, "doc_id", "text")
@@ -193,9 +193,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Mod
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     used = texts.withColumn("size", size).orderBy("size", "h").limit(2 * SAMPLE_PER_CLASS)
     used = used.withColumn("sum", F.sum("size").over(Window.orderBy("size", "h", "toxic"))).where(F.col("sum") <= SAMPLE_BYTES)
-    used = used.orderBy("h", "toxic", "text").select("toxic", "text").toArrow()
-    toxic = used["toxic"].to_numpy() == 1
-    return fit(*byte_column(used["text"]), toxic, counts.get(1, 0) / sum(counts.values()))
+    prior = counts.get(1, 0) / sum(counts.values())
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([b.select(["toxic", "text"]) for b in batches], pa.schema([("toxic", pa.int32()), ("text", pa.string())]))
+        model = fit(*byte_column(held["text"]), held["toxic"].to_numpy() == 1, prior)
+        yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    sample = used.select("toxic", "text", "h").coalesce(1).sortWithinPartitions("h", "toxic", "text")
+    found = sample.mapInArrow(learn, "weights binary, bias double").first()
+    if found is None:
+        return fit(*byte_column(pa.array([], pa.string())), np.zeros(0, bool), prior)
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
