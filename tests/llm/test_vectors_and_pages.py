@@ -120,6 +120,31 @@ def test_markup():
     assert html_extract.main_text(html_extract.lines(page), []) == "T & u\n\none two three\n\nfo ur é\n\nx\n\ny"
 
 
+@pytest.mark.parametrize(
+    "block, text",
+    [
+        ('<p class="share-price">a</p>', "a"),
+        ('<section id="social-history"><p>a</p></section>', "a"),
+        ('<table class="related-work"><tr><td>a</table>', "a"),
+        ('<p data-id="menu-1">a</p>', "a"),
+        ('<p title="hidden gems" data-x=\'class="ad"\'>a</p>', "a"),
+        ('<div class="article-header"><h1>a</h1></div><div class=header>b</div>', "a\n\nb"),
+        ('<p class="lead ad-slot">a</p><div id="comment-list-2">b</div><p hidden>c</p><p CLASS=\'Cookie-Banner\'>d</p>', ""),
+    ],
+)
+def test_blocks_inside_an_article(block, text):
+    assert html_extract.main_text(html_extract.lines(f"<nav>n</nav><article>{block}</article>"), []) == text
+
+
+def test_copies_are_not_differenced(spark):
+    """Repeated rows and query strings of one path keep their texts; other neighbours still take the frame."""
+    page = "<div>frame</div>" + "".join(f"<p>own {k}</p>" for k in range(9))
+    other = "<div>frame</div><p>else</p>"
+    rows = [(1, "http://h/a", page), (2, "http://h/a?x=1", page), (2, "http://h/a?x=1", page), (3, "http://i/a", page), (4, "http://i/a?x", page), (5, "http://i/b", other)]
+    got = sorted((r["page_id"], r["text"].startswith("frame"), r["text"].count("own")) for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
+    assert got == [(1, True, 9), (2, True, 9), (2, True, 9), (3, True, 9), (4, False, 9), (5, False, 0)]
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):
