@@ -57,6 +57,19 @@ def test_languages_on_held_out_rows(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"] and lang[r["doc_id"]]]) >= 0.95
 
 
+def test_scripts_with_combining_marks_and_many_languages(spark, monkeypatch):
+    assert language_id.plain("किताब की कीमत है, 12 நூல் ภาษาที่").decode() == "किताब की कीमत है நூல் ภาษาที่"
+    words = {"hi": "किताब की कीमत है और यह अच्छी पुस्तक हमारे घर में", "mr": "पुस्तकाची किंमत आहे आणि हे चांगले पुस्तक आमच्या घरात", "th": "ภาษาไทยเป็นภาษาที่มีระดับเสียงและหนังสือเล่มนี้ดีมาก"}
+    rows = [(k, f"{text} {text[k % 7 :]}", lang) for lang, text in words.items() for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language_id.identify(docs.select("text", "doc_id"), language_id.train(docs)).join(docs.select("doc_id").distinct(), "doc_id")
+    counts = {r["lang_pred"]: r["count"] for r in found.groupBy("lang_pred").count().collect()}
+    assert counts == {"hi": 30, "mr": 30, "th": 30}
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.train(docs)
+
+
 def test_languages_of_odd_rows(spark, odd, empty):
     learnt = language_id.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
     assert set(learnt) == {"de", "en", "es", "fr"}

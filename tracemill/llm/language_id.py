@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from tracemill.llm.common import blocks, check_columns, find
 #: Bytes of each language's raw-content dictionary, cut from as many texts as give ``SLICE_BYTES`` each.
 DICTIONARY_BYTES = 65_536
 SLICE_BYTES = 256
-#: Languages learnt at most, the most frequent ones; the driver holds one dictionary of each.
+#: More languages than this are an error: the driver and each task hold one dictionary of each.
 MAX_LANGUAGES = 500
 LEVEL = 6
 BLOCK_BYTES = 2048
@@ -27,11 +26,11 @@ MIN_MARGIN = 0.01
 MARGIN_SCALE = 0.02
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_NO_WORD = re.compile(r"[\W\d_]+")
+_NO_WORD = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def plain(text: str) -> bytes:
-    """Lower-case words with one space between them; digits, marks and white space do not tell languages apart."""
+    """Lower-case words of letters and their combining marks (vowel signs too), with one space between them."""
     return _NO_WORD.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
@@ -59,11 +58,14 @@ def train(docs: DataFrame, rows: Column | None = None) -> dict[str, bytes]:
     """A dictionary per value of ``lang`` in the rows given, from a bounded sample.
 
     A hash of the doc_id draws about four times the texts needed of each language (all, if there are few); of these the ones with the
-    smallest hash give a slice each. Null languages and texts without letters teach nothing.
+    smallest hash give a slice each. Null languages and texts without letters teach nothing. Every other value of ``lang``
+    is learnt; more than ``MAX_LANGUAGES`` raise ValueError.
     """
     check_columns(docs, "doc_id", "text", "lang")
     known = docs.where("lang is not null and text is not null").where(F.lit(True) if rows is None else rows).where(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     if not counts:
         return {}
     wanted = 4 * DICTIONARY_BYTES // SLICE_BYTES
