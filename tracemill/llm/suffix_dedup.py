@@ -23,7 +23,7 @@ from tracemill.llm.common import Scratch, blocks, byte_column, check_columns, fi
 
 LENGTH = 200
 GRAM = 32
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 BLOCK_BYTES = 1 << 20
 SAMPLE = 32
 _RANDOM = np.random.default_rng(20011)
