@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tracemill.llm.common import Scratch, blocks, check_columns, ranges, text_or_empty
+from tracemill.llm.common import Scratch, blocks, check_columns, find
 from tracemill.llm.components import components
 
 RADIUS = 2
@@ -43,14 +43,21 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     check_columns(docs, "doc_id", "text")
 
+    kind = docs.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", kind), StructField("fp", LongType())])
+    return docs.select("doc_id", "text").mapInArrow(_printer("text", words, ["doc_id", "fp"]), schema)
+
+
+def _printer(column: str, words: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts the fingerprint of ``column`` (a column, or a field of a struct) beside the first column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
-            texts = batch.column(1).cast(pa.large_binary())
+        for batch in blocks(batches, column, 4 << 20):
+            texts = find(batch, column).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return run
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -100,13 +107,18 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs, words))
-    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    owners = _owners(prints, F.col("doc_id"), scratch).select("fp", F.col("winner").alias("component_id"))
+    return _join_salted(prints, owners, "fp").select("doc_id", "fp", "component_id")
+
+
+def _owners(prints: DataFrame, rank: Column, scratch: Scratch) -> DataFrame:
+    """``(fp, winner)``: for every fingerprint the smallest ``rank`` of all rows of its component, nulls left out."""
+    classes = scratch.save(prints.groupBy("fp").agg(F.min(rank).alias("first")))
     parts = scratch.save(components(links(classes.select("fp")), scratch))
     named = classes.join(parts, classes["fp"] == parts["node"]).select("fp", "first", "component")
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = named.join(smallest, "component").select("fp", "component_id")
-    owners = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return _join_salted(prints, owners, "fp").select("doc_id", "fp", "component_id")
+    smallest = named.groupBy("component").agg(F.min("first").alias("winner"))
+    linked = named.join(smallest, "component").select("fp", "winner")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("winner", "first").alias("winner"))
 
 
 #: Tasks that the rows of one frequent key are dealt over.
@@ -119,54 +131,6 @@ def _join_salted(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
-#: Part fingerprints of a level, at most.
-PARTS = 32
-#: Pairs whose larger text has no more shingles than this meet by single shingles instead, without exception.
-EXACT = 128
-
-
-def _keys(hashes: np.ndarray, similarity: float) -> tuple[int, range]:
-    """How many of the smallest hashes are keys by themselves, and the levels of parts.
-
-    Two texts of n and m <= EXACT shingles share one of their n - ceil(similarity n) + 1 smallest
-    hashes each (prefix filter). A larger pair differs in D <= 2 M (1 - similarity) / (1 + similarity) shingles, M being
-    the larger size; its level is the smallest of more than D parts, so that about e^-1 of them or more are equal. A text
-    emits the levels of all M that it can be paired at.
-    """
-    n = len(hashes)
-    alone = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n <= EXACT else 0
-    least, most = max(n, EXACT + 1), int(n / similarity + 1e-9)
-    level = lambda size: int(2 * size * (1 - similarity) / (1 + similarity) + 1e-9).bit_length()
-    return alone, range(level(least), level(most) + 1) if least <= most else range(0)
-
-
-def _sketch(text: bytes, words: int, similarity: float) -> tuple[int, int, list[dict]]:
-    """Number of distinct shingles, whole fingerprint, and part fingerprints.
-
-    Single shingles of short texts come as parts of level -1.
-    """
-    tokens = text.translate(_LOWER).split()
-    repeated = _shingle_hashes(tokens, words)
-    hashes = np.unique(repeated)
-    if not len(hashes):
-        return 0, 0, []
-    alone, levels = _keys(hashes, similarity)
-    parts = [{"level": -1, "part": 0, "print": f} for f in hashes[:alone].view(np.int64).tolist()]
-    for level in levels:
-        part = (hashes & np.uint64((1 << level) - 1)).astype(np.int64)
-        order = np.flatnonzero(part < PARTS)
-        order = order[np.argsort(part[order], kind="stable")]
-        if not len(order):
-            continue
-        head = np.flatnonzero(np.append(True, np.diff(part[order]) > 0))
-        bits = np.unpackbits(hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits.astype(np.int64), head, axis=0)
-        size = np.diff(np.append(head, len(order)))[:, None]
-        prints = np.packbits(2 * votes > size, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-        parts += [{"level": level, "part": p, "print": f} for p, f in zip(part[order][head].tolist(), prints.tolist(), strict=True)]
-    return len(hashes), _majority(repeated), parts
-
-
 def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -174,186 +138,21 @@ def _shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
 
 
-_PART = pa.struct([("level", pa.int32()), ("part", pa.int32()), ("print", pa.int64())])
-#: Members of one side of a group of texts compared with each other in a task.
-TILE = 2048
-
-
-def _spanning(labels: list[int], sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links that join what is alike among texts of known labels; texts of one label are joined already.
-
-    ``flat`` holds the sets one after the other. Texts of the most frequent label are not tried with each other.
-    """
-    count = len(labels)
-    number = {name: k for k, name in enumerate(dict.fromkeys(labels))}
-    root = np.array([number[name] for name in labels], np.int64)
-    if len(number) < 2:
-        return []
-    ends = np.cumsum(sizes)
-    order = np.argsort(flat, kind="stable")
-    owner = np.repeat(np.arange(count), sizes)[order]
-    head = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-    length = np.diff(np.append(head, len(flat)))
-    place = np.empty(len(flat), np.int64)
-    place[order] = np.repeat(np.arange(len(head)), length)
-    links, left = [], len(number)
-    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():
-        mine = place[ends[i] - sizes[i] : ends[i]]
-        mine = mine[length[mine] > 1]
-        both = np.bincount(owner[ranges(head[mine], length[mine])], minlength=count)
-        for j in np.flatnonzero((both >= similarity * (sizes[i] + sizes - both)) & (root != root[i])).tolist():
-            if root[j] != root[i]:
-                links.append((i, j))
-                root[root == root[j]] = root[i]
-                left -= 1
-        if left == 1:
-            break
-    return links
-
-
-def _rest(members: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: links missing between the components ``parts`` of the texts of one bucket.
-
-    Buckets of one component, of up to three texts (all tried) and of the same texts as another are left
-    out. The others are compared whole: dealt over tiles, each pair of tiles a group of bounded size,
-    which returns spanning links only.
-    """
-    key = ["level", "part", "print"]
-    named = members.join(parts, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("label"))
-    buckets = named.groupBy(*key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("label").alias("least"), F.max("label").alias("most"))
-    buckets = buckets.where("n > 3 and least != most").groupBy("n", "h").agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    dealt = named.join(buckets, key).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("t1"), F.greatest(t, "tile").alias("t2")))
-    dealt = dealt.select(*key, "node", "label", F.explode(pairs).alias("p")).select(F.xxhash64(*key, "p.t1", "p.t2").alias("g"), *key, "p.*", "node", "label")
-    group = ["g", *key, "t1", "t2"]
-
-    def solve(held: list[tuple]) -> pa.RecordBatch:
-        sizes = np.array([len(r[2]) for r in held], np.int64)
-        found = _spanning([r[1] for r in held], sizes, np.concatenate([r[2] for r in held]), similarity)
-        return pa.record_batch([pa.array([held[e[k]][0] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each component of ``docs``: that of the smallest id, ids before null, with its columns as they are.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(group))), strict=True))
-            for k, (g, node, label) in enumerate(zip(names, batch.column(len(group)).to_pylist(), batch.column(len(group) + 1).to_pylist(), strict=True)):
-                if held and g != now:
-                    yield solve(held)
-                    held = []
-                held.append((node, label, batch.column(len(group) + 2)[k].values.to_numpy().copy()))
-                now = g
-        if held:
-            yield solve(held)
-
-    whole = dealt.join(sets, "node").repartition(*group).sortWithinPartitions(*group, "node")
-    return whole.select(*group, "node", "label", "shingles").mapInArrow(run, "a bigint, b bigint")
-
-
-def _content() -> Column:
-    """128 bits that tell word sequences apart: words with one space between them, A-Z lower-cased."""
-    words = F.regexp_replace(F.translate(text_or_empty(), string.ascii_uppercase, string.ascii_lowercase), r"[ \t\n\x0B\f\r]+", " ")
-    return F.unhex(F.md5(F.trim(words)))
-
-
-def _grouped(docs: DataFrame, words: int, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, content)`` of every row, and the classes of equal content, linked at a Jaccard similarity of distinct shingles.
-
-    A class has ``content``, its smallest id ``first``, its number of ``rows``, and of its component
-    the ``winner``: the smallest id and then content, ids before null.
-
-    Whole fingerprints tell texts apart whose similarity is well above 0.8 only, as one bit in seven differs
-    there. So pairs of up to ``EXACT`` shingles meet by the smallest hashes, of which they share one for certain, and larger
-    texts are cut into parts by the low bits of their shingles' hashes (``PARTS`` of a level), and each part has a
-    fingerprint. Larger texts at the similarity share a part's fingerprint but for a chance of about 0.64^32. Candidates are
-    whole fingerprints within radius 2 by the covering tables, and equal keys; each text of
-    a bucket is tried with the first and the last one of it, so buckets cost rows in proportion to their size. Buckets
-    that are not one component then are compared whole (``_rest``). Every candidate is
-    checked on the shingle sets themselves. Stored between steps, so that each plan is small; classes are numbered
-    when they are stored, and links are pairs of numbers.
+    Each row is judged by its own fingerprint: rows that share an id but lie in different components stay
+    apart, and so do the groups of rows without an id. Of rows of one id in one component the one with the smallest hash
+    of all columns stays. Texts without words are copies of each other. An empty table stays empty.
     """
     check_columns(docs, "doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
-            rows = [_sketch((t.as_py() or "").encode(), words, similarity) for t in batch.column(2)]
-            fp = pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64))
-            yield pa.record_batch([*batch.columns[:2], pa.array([r[0] for r in rows], pa.int64()), fp, pa.array([r[2] for r in rows], pa.list_(_PART))], ["doc_id", "content", "n", "fp", "parts"])
-
-    schema = f"doc_id {kind}, content binary, n bigint, fp bigint, parts array<struct<level:int,part:int,print:bigint>>"
-    prints = scratch.save(docs.select("doc_id", _content().alias("content"), "text").mapInArrow(sketch, schema))
-    grouped = prints.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parts").alias("parts"))
-    classes = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()))
-    key = ["level", "part", "print"]
-    keys = scratch.save(classes.where("n > 0").select("node", "n", F.inline("parts")))
-    crowded = keys.groupBy(*key).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    members = scratch.save(keys.join(crowded, key))
-    scratch.drop(keys)
-    same = scratch.save(classes.where("n > 0").groupBy("fp").agg(F.min("node").alias("low")))
-    near = scratch.save(links(same.select("fp")))
-    close = near.join(same.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b").select("x", "y")
-    equal = classes.where("n > 0").join(same, "fp").select(F.col("node").alias("x"), F.col("low").alias("y"))
-    tried = members.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y")).unionByName(close).unionByName(equal)
-    pairs = scratch.save(tried.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = classes.join(wanted, "node").select(F.col("content").alias("own"), F.col("first").alias("id"), "node")
-    texts = docs.select("doc_id", "text", _content().alias("content"))
-    texts = texts.join(owners, texts["doc_id"].eqNullSafe(owners["id"]) & (texts["content"] == owners["own"]))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 4 << 20):
-            split = ((t.as_py() or "").encode().translate(_LOWER).split() for t in batch.column(0))
-            found = [np.unique(_shingle_hashes(tokens, words).astype(np.uint32)).view(np.int32) for tokens in split]
-            yield pa.record_batch([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
-
-    sets = scratch.save(texts.select("text", "node").mapInArrow(shingles, "node bigint, shingles array<int>").dropDuplicates(["node"]))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
-    fits = F.least(F.size("p"), F.size("q")) >= similarity * F.greatest(F.size("p"), F.size("q"))
-    both = F.size(F.array_intersect("p", "q"))
-    alike = scratch.save(pairs.join(left, "a").join(right, "b").where(fits).where(both >= similarity * (F.size("p") + F.size("q") - both)).select("a", "b"))
-    parts = scratch.save(components(alike, scratch))
-    rest = scratch.save(_rest(members, parts, sets, similarity))
-    scratch.drop(pairs, sets, members, alike)
-    if not rest.isEmpty():
-        parts = scratch.save(components(rest.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch))
-    slim = classes.select("node", "content", "first", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    winners = slim.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "content")).alias("winner"))
-    named = slim.join(winners, "component").select("content", "first", "rows", F.struct("winner.id", "winner.content").alias("winner"))
-    return prints.select("doc_id", "content"), scratch.save(named)
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` for every row, by the links of ``_grouped``; component_id is the smallest id of the group.
-
-    Equal word sequences are one class from the start; texts without words are copies of each other. Null ids name a
-    group only if all its ids are null.
-    """
-    prints, named = _grouped(docs, words, similarity, Scratch(docs.sparkSession))
-    return _join_salted(prints, named.select("content", F.col("winner.id").alias("component_id")), "content").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of ``docs``: that of the smallest id, ids before null, with its columns as they are.
-
-    Of one id's different texts that are alike the one with the smallest digest stays; other texts under
-    the same id are decided by their own groups. Of rows that share id and text the one with the smallest hash of all columns stays.
-    """
     scratch = Scratch(docs.sparkSession)
-    prints, named = _grouped(docs, words, similarity, scratch)
-    stays = F.col("first").eqNullSafe(F.col("winner.id")) & (F.col("content") == F.col("winner.content"))
-    firsts = named.where(~stays).select(F.col("first").alias("doc_id"), "content")
-    repeated = named.where("rows > 1").select("content", "first")
-    copies = _join_salted(prints, repeated, "content")
-    others = copies.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "content")
-    again = copies.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id", "content").count().where("count > 1").select("doc_id", "content", F.lit(False).alias("gone"))
-    gone = firsts.unionByName(others).distinct().withColumn("gone", F.lit(True))
-    marks = scratch.save(gone.unionByName(again).groupBy(F.col("doc_id").alias("mark_id"), F.col("content").alias("mark")).agg(F.max("gone").alias("gone")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _content().alias("content"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("mark_id")) & (F.col("content") == F.col("mark"))
-    once = rows.join(marks, same, "left_anti").select("row.*")
-    left = marks.where("not gone")
-    if left.isEmpty():
-        return once
-    twice = rows.join(left, same).groupBy("mark_id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
-    return once.unionByName(twice)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = StructType([*rows.schema.fields, StructField("fp", LongType())])
+    prints = scratch.save(rows.mapInArrow(_printer("row.text", words, ["row", "fp"]), schema).withColumn("at", F.monotonically_increasing_id()))
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]))
+    rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text", others).alias("hash"), "at")
+    ranked = scratch.save(prints.select("fp", rank.alias("rank")))
+    kept = _owners(ranked, F.col("rank"), scratch).select(F.col("winner.at").alias("kept")).distinct()
+    gone = ranked.select(F.col("rank.at").alias("at")).join(kept, F.col("at") == F.col("kept"), "left_anti")
+    return prints.join(scratch.save(gone), "at", "left_anti").select("row.*")
