@@ -30,9 +30,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at 0.8 similarity of five-word shingles the document with the smallest id stays."""
+    """Of each group linked by fingerprints of three-word shingles at 2 bits or fewer the document with the smallest id stays."""
     ship(spark)
-    return simhash.keep_one(docs, words=5, similarity=0.8)
+    return simhash.keep_one(docs, words=3)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
