@@ -199,6 +199,9 @@ def _match(length: int):
         # Of each class one member goes to the merge, as another shard may hold the string too.
         member = np.zeros(len(array.data), bool)
         member[order] = np.append(True, number[1:] != number[:-1])[: len(order)] & (shards[array.part[order]] > 1)
+        members = np.flatnonzero(member)
+        member_prints = _prints(array, members, length) if len(members) else members
+        mine = np.searchsorted(members, np.append(array.start, len(array.data)))
         out = []
         for i, row in enumerate(rows):
             a = int(array.start[i])
@@ -207,8 +210,8 @@ def _match(length: int):
             base = {"key": row["key"], "seg": row["seg"], "n": row["n"]}
             if len(begin):
                 out.append(base | {"spans": [{"a": x, "b": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]})
-            if shards[i] > 1 and (at := np.flatnonzero(member[a:b])).size:
-                prints = _prints(array, a + at, length)
+            if mine[i] < mine[i + 1]:
+                at, prints = members[mine[i] : mine[i + 1]] - a, member_prints[mine[i] : mine[i + 1]]
                 order_ = np.argsort(prints, kind="stable")
                 prints, at = prints[order_], at[order_]
                 slices = (prints >> np.uint64(33)).astype(np.int64) % int(shards[i])
