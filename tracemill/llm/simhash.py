@@ -80,8 +80,8 @@ def links(classes: DataFrame) -> DataFrame:
 
     Fingerprints sharing a masked value in one of the seven tables are candidates. Two values differ in at most
     two bits exactly if they have a common midpoint, a value that differs from either in at most one
-    bit; in table v it suffices to flip bits outside mask v. So each candidate emits itself and its
-    flips (about 28 rows a table) and is linked with the smallest fingerprint at each midpoint. All at a
+    bit; in table v it suffices to flip bits outside mask v. So each candidate emits itself and once its
+    flips outside some mask of a table it shares (65 rows at most) and is linked with the smallest fingerprint at each midpoint. All at a
     midpoint lie within radius 2 of each other, so no false link arises and no link
     between components is lost; a crowded table costs rows in proportion to its members, not their
     pairs, and a midpoint has at most 65 members.
@@ -90,9 +90,11 @@ def links(classes: DataFrame) -> DataFrame:
     table = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     rows = classes.select("fp", F.explode(table).alias("e")).select("fp", "e.t", "e.key")
     crowded = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    candidates = rows.join(crowded, ["t", "key"]).select("t", "fp")
-    flips = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    halves = candidates.select("fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
+    free = F.element_at(F.array(*[F.lit(_signed(~m % (1 << BITS))) for m in masks]), F.col("t") + 1)
+    candidates = rows.join(crowded, ["t", "key"]).groupBy("fp").agg(F.bit_or(free).alias("free"))
+    bits = F.array(*[F.lit(_signed(1 << i)) for i in range(BITS)])
+    flips = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(bits, lambda bit: F.col("free").bitwiseAND(bit) != 0))
+    halves = candidates.select("fp", F.explode(flips).alias("flip"))
     halves = halves.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("midpoint"))
     least = halves.groupBy("midpoint").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").drop("most")
     return halves.join(least, "midpoint").where("fp != least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
