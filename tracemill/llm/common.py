@@ -15,9 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of one Arrow batch; a longer row is a batch of its own.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors, once a session, in case they have no installed copy."""
+    """Hands this package to the executors, once a session, in case they have no installed copy.
+
+    Also keeps Arrow batches small where the session has no setting of its own: a batch is held on both sides of the worker.
+    """
     context = spark.sparkContext
+    for name, value in ARROW_BATCH.items():
+        if context.getConf().get(name) is None:
+            spark.conf.set(name, value)
     if getattr(context, "_llm_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
