@@ -5,6 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill import stored_queries
+from tracemill.operators.flatten import flatten_documents
 from tracemill.operators.median import median_of_counts
 from tracemill.plans import pipeline
 from tracemill.plans.catalog import Lineage, Options
@@ -100,3 +102,21 @@ def test_idle_runs_append_nothing(spark, sf_dir, tmp_path):
     assert pipeline.extract(spark, job)["added_records"] == 0 and tables.current_version(spark, job.flattened) == 2
     loaded = pipeline.load(spark, job)
     assert pipeline.load(spark, job)["bronze_version"] == loaded["bronze_version"] == 1
+
+
+@pytest.mark.parametrize("query", [stored_queries.delta_tool_efficiency, stored_queries.table_versions])
+def test_stored_queries_flatten_a_document_once(spark, sf_dir, monkeypatch, query):
+    """Upserts read their rows several times; the documents behind them are flattened once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(docs, *args, **kwargs):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return flatten_documents(docs.mapInArrow(count, docs.schema), *args, **kwargs)
+
+    monkeypatch.setattr(stored_queries, "flatten_documents", counted)
+    assert query(spark, sf_dir).count() > 0
+    assert seen.value == spark.read.parquet(f"{sf_dir}/conversations.parquet").count()

@@ -50,10 +50,13 @@ def _again(rows: DataFrame) -> DataFrame:
     )
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as log documents, flattened."""
+def _rows(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Conversations as log documents, flattened and stored, as upserts read their rows several times
+    and flattening is most of the work."""
     docs = event_log.documents_from_conversations(spark, sf_dir)
-    return flatten_documents(docs, F.lit(EXTRACTED_AT), python_json=False)
+    rows = flatten_documents(docs, F.lit(EXTRACTED_AT), python_json=False)
+    rows.write.parquet(f"{folder}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
 def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +64,8 @@ def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first version's reader is opened before the table changes.
     """
-    rows = _rows(spark, sf_dir)
-    table = _bronze(spark, scratch_folder(spark, "table-versions"))
+    folder = scratch_folder(spark, "table-versions")
+    rows, table = _rows(spark, sf_dir, folder), _bronze(spark, folder)
     table.append(rows, tag="first")
     table.append(rows, tag="first")
     before = table.read()
@@ -77,7 +80,7 @@ def delta_tool_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tools from state tables after a delta of late rows, of older versions that lay in another session,
     and of a new day."""
     folder = scratch_folder(spark, "delta-models")
-    rows, table = _rows(spark, sf_dir), _bronze(spark, folder)
+    rows, table = _rows(spark, sf_dir, folder), _bronze(spark, folder)
     late, last = F.crc32("_id") % 10 == 0, F.col("date") >= "2024-03-02"
     names = ("usage_cells", "duration_counts", "file_cells", "activity_rollup")
     state = DeltaState(spark, table, f"{folder}/state", f"{folder}/models", f"{folder}/staging", Options(as_of=AS_OF), names)
