@@ -145,6 +145,34 @@ def test_copies_are_not_differenced(spark):
     assert got == [(1, True, 9), (2, True, 9), (2, True, 9), (3, True, 9), (4, False, 9), (5, False, 0)]
 
 
+def test_differencing_decides_beside_an_article():
+    """A headline before the article is the page's own; the site's name beside it is not. Without a frame in common the article is all."""
+    page = "<nav>a</nav><div>site</div><div><h1>head {0}</h1></div><article><p>text {0}</p><p>same</p></article><div>by {0}</div><div>more</div><footer>z {1}</footer>"
+    lines = [html_extract.lines(page.format(k, f)) for k, f in ((1, 1), (2, 2), (3, 1))]
+    others = [html_extract.frame_lines(p) for p in lines]
+    assert html_extract.main_text(lines[0], others[1]) == html_extract.main_text(lines[0], others[2]) == "head 1\n\ntext 1\n\nsame\n\nby 1"
+    assert html_extract.main_text(lines[0], []) == html_extract.main_text(lines[0], ["else"]) == html_extract.main_text(lines[0], ["site", "more"]) == "text 1\n\nsame"
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_own_blocks_beside_articles_are_kept(spark, parts):
+    """Frames are equal on a site without the pages being copies; copies and lone pages are left to the markup."""
+    frame = "".join(f"<li>item {k}" for k in range(30))
+    page = lambda k: f"<nav><ul>{frame}</ul></nav><div>site</div><div><h1>head {k}</h1></div><article><p>text {k}</p></article><footer>end</footer>"
+    rows = [(k, f"http://h/{k:03}", page("<p>".join(f"{k}.{n}" for n in range(9)))) for k in range(12)]
+    rows += [(20, "http://i/a", page(20)), (21, "http://i/a?x", page(20)), (22, "http://j/a", page(22))]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["page_id"]: r["text"].split("\n\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    own = lambda k: [f"{k}.{n}" for n in range(1, 9)]
+    assert {k: got[k] for k in range(12)} == {k: [f"head {k}.0", *own(k), f"text {k}.0", *own(k)] for k in range(12)}
+    assert [got[k] for k in (20, 21, 22)] == [["text 20"], ["text 20"], ["text 22"]]
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -4,8 +4,9 @@ Pages are sorted by host and URL path. A page is paired with the neighbour whose
 longer prefix and whose lines are not nearly all equal, their lines are aligned by longest common subsequence, and lines
 that both have are deleted as part of the site's frame. Lines of an ``article`` or ``main`` element are exempt (sites
 repeat articles too), and a check on the markup then drops what a frame holds without sharing it: menus,
-headers, footers, sidebars, notices, adverts, forms and comments, by element, role and class. So on a page with such
-an element the markup decides, and on others the differencing.
+headers, footers, sidebars, notices, adverts, forms and comments, by element, role and class. Lines that neither the main
+element nor a frame holds, such as a headline before the article, are decided by the differencing: on a page without main element always, on
+others if the pair has most of the page's frame in common, as else a line beside the main element tells nothing by not being shared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import html as htmllib
 import json
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from tracemill.llm.common import Scratch, check_columns
 
@@ -45,6 +47,8 @@ FRAME_WORDS = frozenset(
 PLACE_WORDS = frozenset("area bar block box container content inner item items link links list outer section slot unit wrap wrapper".split())
 #: Lines two pages share, of the longer page's, from which on they count as copies and are not differenced.
 COPIES = 0.9
+#: Lines of a page's frame that the pair has in common, from which on the differencing is believed beside a main element.
+FRAME_SEEN = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
@@ -173,12 +177,15 @@ def common_prefix(a: str, b: str) -> int:
 def main_text(page: list[tuple[int, str]], other: list[str]) -> str:
     """The page's blocks without those shared with ``other``, the paired page's lines outside its main element.
 
-    What the markup calls a frame goes as well, and if there is a main element all outside it.
+    What the markup calls a frame goes as well. If there is a main element, own blocks outside it stay only
+    if the pair has shown the frame: it shares ``FRAME_SEEN`` of what the markup calls so, and a line at all.
     """
     outside = [i for i, (zone, _) in enumerate(page) if zone != MAIN]
     aligned = shared([page[i][1] for i in outside], other)
     gone = {outside[k] for k in aligned}
-    wanted = (MAIN,) if len(outside) < len(page) else (PLAIN,)
+    frame = [i for i in outside if page[i][0] == FRAME]
+    seen = bool(gone) and len(gone.intersection(frame)) >= FRAME_SEEN * len(frame)
+    wanted = (MAIN, PLAIN) if seen or len(outside) == len(page) else (MAIN,)
     return "\n\n".join(t for i, (zone, t) in enumerate(page) if i not in gone and zone in wanted)
 
 
@@ -186,18 +193,30 @@ def frame_lines(page: list[tuple[int, str]]) -> list[str]:
     return [t for zone, t in page if zone != MAIN]
 
 
-def copies(mine: list[str], other: list[str]) -> bool:
-    """Whether nearly all lines of either page are the other's too, so that what they share is no frame."""
-    longer = max(len(mine), len(other))
-    return min(len(mine), len(other)) >= COPIES * longer and len(shared(mine, other)) >= COPIES * longer
+def copies(page: list[tuple[int, str]], other: list[tuple[int, str]]) -> bool:
+    """Whether nearly all lines of either page are the other's too, so that what they share is no frame.
+
+    A page with a main element is compared whole, as all outside it may be the site's frame.
+    """
+    mine, theirs = frame_lines(page), frame_lines(other)
+    whole = len(mine) < len(page)
+    if whole:
+        mine, theirs = [t for _, t in page], [t for _, t in other]
+    least = COPIES * max(len(mine), len(theirs))
+    if min(len(mine), len(theirs)) < least:
+        return False
+    return ((Counter(mine) & Counter(theirs)).total() if whole else len(shared(mine, theirs))) >= least
+
+
+Neighbour = tuple[str, list[tuple[int, str]]]
 
 
-def nearest(path: str, mine: list[str], before: tuple[str, list[str]] | None, after: tuple[str, list[str]] | None) -> list[str]:
-    """The lines of the neighbour with the longer common path prefix, the former one of equals; copies of the page do not count."""
-    before, after = (n if n and not copies(mine, n[1]) else None for n in (before, after))
+def nearest(path: str, page: list[tuple[int, str]], before: Neighbour | None, after: Neighbour | None) -> list[str]:
+    """The outside lines of the neighbour with the longer common path prefix, the former one of equals; copies of the page do not count."""
+    before, after = (n if n and not copies(page, n[1]) else None for n in (before, after))
     if before and (not after or common_prefix(path, before[0]) >= common_prefix(path, after[0])):
-        return before[1]
-    return after[1] if after else []
+        return frame_lines(before[1])
+    return frame_lines(after[1]) if after else []
 
 
 def packed(page: list[tuple[int, str]]) -> bytes:
@@ -216,7 +235,8 @@ def extract(pages: DataFrame) -> DataFrame:
     task walks its sorted pages. The first and the last page of a task have a neighbour in another task; these pages,
     two a task, are stored and joined with their neighbours, so results do not depend on the cuts. Rows
     of equal URL are ordered by page_id and then by content; null URLs are a host of their own; a page without neighbours
-    on its host, or between copies of itself, is left to the markup check.
+    on its host, or between copies of itself, is left to the markup check: of a page with a main element its lines
+    then, of another all that is no frame.
     """
     check_columns(pages, "page_id", "url", "html")
     id_type = pages.schema["page_id"].dataType
@@ -234,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
     order = ["host", "path", "page_id", "tie"]
     stored = Scratch(spark).save(parsed.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").mapInArrow(_walk, StructType([*key, *_RESULT])))
     done = stored.where("part is null").select("page_id", "url", "text")
-    edges = stored.where("part is not null").select("page_id", "url", "host", "path", "page", "part", "first", "last", "other_path", "other_lines")
+    edges = stored.where("part is not null").select("page_id", "url", "host", "path", "page", "part", "first", "last", "other_path", "other_page")
     parts = sorted(r["part"] for r in edges.where("first").select("part").collect())
     follows = spark.createDataFrame(list(zip(parts, parts[1:], strict=False)), "left int, right int")
     side = lambda which, name: edges.where(which).select(F.col("part").alias(name), F.struct("host", "path", "page").alias(f"{name}_row"))
@@ -242,7 +262,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pairs = pairs.where("left_row.host = right_row.host")
     beyond = edges.join(pairs.select(F.col("right").alias("part"), F.lit(True).alias("first"), F.col("left_row").alias("before")), ["part", "first"], "left")
     beyond = beyond.join(pairs.select(F.col("left").alias("part"), F.lit(True).alias("last"), F.col("right_row").alias("after")), ["part", "last"], "left")
-    settled = beyond.select("page_id", "url", "path", "page", "first", "last", "other_path", "other_lines", "before", "after").mapInArrow(
+    settled = beyond.select("page_id", "url", "path", "page", "first", "last", "other_path", "other_page", "before", "after").mapInArrow(
         _settle, StructType([*key[:2], StructField("text", StringType())])
     )
     return done.unionByName(settled).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -256,7 +276,7 @@ _RESULT = [
     StructField("last", BooleanType()),
     StructField("page", BinaryType()),
     StructField("other_path", StringType()),
-    StructField("other_lines", ArrayType(StringType())),
+    StructField("other_page", BinaryType()),
 ]
 
 
@@ -265,9 +285,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "host", "path", *[f.name for f in _RESULT]]
     before, current, count = None, None, 0
 
-    def near(row: dict, neighbour: dict | None) -> tuple[str, list[str]] | None:
+    def near(row: dict, neighbour: dict | None) -> Neighbour | None:
         same = neighbour is not None and neighbour["host"] == row["host"]
-        return (neighbour["path"], frame_lines(neighbour["page"])) if same else None
+        return (neighbour["path"], neighbour["page"]) if same else None
 
     def settled(row: dict, after: dict | None) -> dict:
         first, last = count == 1, after is None
@@ -276,8 +296,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first or last:
             other = right if first else left
             out |= {"part": part, "first": first, "last": last, "page": packed(row["page"])}
-            return out | ({"other_path": other[0], "other_lines": other[1]} if other else {})
-        return out | {"text": main_text(row["page"], nearest(row["path"], frame_lines(row["page"]), left, right))}
+            return out | ({"other_path": other[0], "other_page": packed(other[1])} if other else {})
+        return out | {"text": main_text(row["page"], nearest(row["path"], row["page"], left, right))}
 
     def record(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
         return pa.record_batch([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
@@ -285,7 +305,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = None
     for batch in batches:
         if schema is None:
-            types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.string(), pa.list_(pa.string())]
+            types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.string(), pa.binary()]
             schema = pa.schema(list(zip(names, types, strict=True)))
         rows = []
         for row in batch.to_pylist():
@@ -301,15 +321,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def near(row: dict | None) -> tuple[str, list[str]] | None:
-        return (row["path"], frame_lines(unpacked(row["page"]))) if row else None
+    def near(row: dict | None) -> Neighbour | None:
+        return (row["path"], unpacked(row["page"])) if row else None
 
     for batch in batches:
         texts = []
         for row in batch.to_pylist():
-            inside = (row["other_path"], row["other_lines"]) if row["other_path"] is not None else None
+            inside = (row["other_path"], unpacked(row["other_page"])) if row["other_path"] is not None else None
             left = near(row["before"]) if row["first"] else inside
             right = near(row["after"]) if row["last"] else inside
             page = unpacked(row["page"])
-            texts.append(main_text(page, nearest(row["path"], frame_lines(page), left, right)))
+            texts.append(main_text(page, nearest(row["path"], page, left, right)))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
